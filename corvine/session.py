@@ -50,6 +50,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvine/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it from there; gone when the session's JVM ends.
+
+    It cuts the lineage like checkpoint(), which would run the plan twice.
+    """
+    spark = df.sparkSession
+    at = scratch_path(spark, name)
+    df.write.parquet(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def local_file(path: str) -> str | None:
     """The plain path behind a ``file:`` address or a bare path; None for other file systems."""
     if path.startswith("file:"):
