@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import leaks, repetition, tokenize
+from corvine.llm import leaks, repetition, spans, tokenize
 from corvine.session import table
 
 
+def p1_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf, "chunks"), "text_content", "id").withColumnRenamed("id", "chunk_id")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_spans(spark, sf).select("chunk_id")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode(table(spark, sf, "documents"), "text", "doc_id")
 
@@ -32,4 +40,4 @@ def p10_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
