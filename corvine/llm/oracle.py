@@ -7,6 +7,16 @@ WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": """
+            WITH latest AS (SELECT id, max(struct_pack(f := coalesce(finished_at, TIMESTAMP '0001-01-01'), v := vector)).v AS v FROM embedresult GROUP BY id),
+            fine AS (SELECT id, v::DOUBLE[] AS v FROM latest WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+            tracked AS (SELECT DISTINCT chunk_id AS id, collection FROM chunk_vectors WHERE collection IS NOT NULL),
+            rows AS (SELECT collection, id, v FROM fine JOIN tracked USING (id)),
+            ranked AS (
+              SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s,
+                     row_number() OVER (PARTITION BY collection, a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS n
+              FROM rows a JOIN rows b USING (collection) WHERE a.id <> b.id)
+            SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM ranked WHERE n <= 5 AND s >= 0.9""",
         "p9_found": f"""
             WITH item AS (SELECT item_id, {WORDS.format("text")} AS w FROM eval_items),
             seed AS (

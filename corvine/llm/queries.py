@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import leaks, repetition, spans, tokenize
+from corvine.llm import leaks, neighbours, repetition, spans, tokenize
 from corvine.session import table
 
 
@@ -19,6 +19,21 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_spans(spark, sf).select("chunk_id")
 
 
+def _tracked_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    tracked = table(spark, sf, "chunk_vectors").select(F.col("chunk_id").alias("id"), "collection").distinct()
+    return neighbours.latest_vectors(table(spark, sf, "embedresult")).join(tracked, "id")
+
+
+def p3_neighbours(spark: SparkSession, sf: str, least: float = 0.9) -> DataFrame:
+    found = neighbours.neighbours(_tracked_vectors(spark, sf), k=5, least=least, sample_from=table(spark, sf, "embedresult"))
+    return found.select("collection", F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "place")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = p3_neighbours(spark, sf)
+    return pairs.select(F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")).distinct()
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode(table(spark, sf, "documents"), "text", "doc_id")
 
@@ -40,4 +55,4 @@ def p10_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p3_found, p3_neighbours, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
