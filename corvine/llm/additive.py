@@ -69,7 +69,7 @@ class Quantiser:
 
     def _encode(self, x: np.ndarray, beam: int) -> np.ndarray:
         n = len(x)
-        cost = self.norms[:, None, :] - 2 * np.einsum("nd,mkd->mnk", x, self.books, optimize=True)  # of an entry by itself
+        cost = np.stack([norm - 2 * (x @ b.T) for norm, b in zip(self.norms, self.books)])  # of an entry by itself
         beam = min(beam, self.k)
         codes = np.argpartition(cost[0], beam - 1, axis=1)[:, :beam].astype(np.int64)[:, :, None] if self.k > beam else np.tile(np.arange(beam), (n, 1))[:, :, None]
         total = np.take_along_axis(cost[0], codes[:, :, 0], axis=1)
@@ -83,8 +83,11 @@ class Quantiser:
             codes = np.concatenate([np.take_along_axis(codes, (best // self.k)[:, :, None], axis=1), (best % self.k)[:, :, None]], axis=2)
         return codes[np.arange(n), np.argmin(total, axis=1)].astype(np.uint8)
 
-    def decoded_norms(self, codes: np.ndarray) -> np.ndarray:
-        return np.linalg.norm(sum(self.books[m][codes[:, m]] for m in range(self.m)), axis=1) if len(codes) else np.zeros(0, dtype=np.float32)
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), self.d), dtype=np.float32)
+        for m in range(self.m):
+            out += self.books[m][codes[:, m]]
+        return out
 
     def nearest_entries(self, x: np.ndarray, count: int) -> np.ndarray:
         """The ``count`` entries of the first codebook nearest to each vector, the nearest first."""
@@ -94,52 +97,58 @@ class Quantiser:
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
 
     def tables(self, x: np.ndarray) -> np.ndarray:
-        """(vector, codebook, entry): inner products, from which scores are looked up."""
-        return np.einsum("nd,mkd->nmk", x, self.books, optimize=True)
+        """Per codebook, (vector * entry): inner products, from which scores are looked up."""
+        return np.stack([(x @ b.T).ravel() for b in self.books])
 
 
-def search(q: Quantiser, base: np.ndarray, base_ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, cells: np.ndarray, probes: np.ndarray, rerank: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in ``asked``, place in ``base``, cosine) of the best ``rerank`` of each asked vector by table score.
+def search(q: Quantiser, base: np.ndarray, codes: np.ndarray, base_ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, cells: np.ndarray, probes: np.ndarray, rerank: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``asked``, place in ``base``, cosine) of the candidates with a cosine of at least ``least``.
 
-    ``cells`` is the cell of each base vector, ``probes`` the cells that each asked vector looks into. Cosines under
-    ``least`` and a vector's match with itself are left out. Vectors are unit vectors.
+    ``codes`` and ``cells`` belong to the base vectors, ``probes`` has the cells that each asked vector looks into. All
+    vectors are unit vectors. Candidates come from table scores. For ``least`` above 0 they are those whose score reaches
+    what a vector of that cosine scores, less five standard deviations of the quantiser's error, however many they are;
+    else the ``rerank`` best of each asked vector. A vector's match with its own id is left out.
     """
-    codes = q.encode(base)
-    norms = np.maximum(q.decoded_norms(codes), 1e-6)
+    decoded = q.decode(codes)
+    norms = np.maximum(np.linalg.norm(decoded, axis=1), 1e-6)
+    true = np.einsum("nd,nd->n", base, decoded) / norms  # how well each vector is coded
+    bound = least * true - 5 * np.sqrt(max(0.0, 1 - least**2) * np.maximum(0, 1 - true**2) / max(1, q.d - 1)) if least > 0 else None
     order = np.argsort(cells, kind="stable")
     begins = np.searchsorted(cells[order], np.arange(q.k + 1))
-    found = []
+    rows, hits = [], []
     for i in range(0, len(asked), 4096):
         own, look = asked[i : i + 4096], probes[i : i + 4096]
         tables = q.tables(own)
         width = look.shape[1]
-        best = np.full((len(own), width, rerank), -np.inf, dtype=np.float32)
-        place = np.full((len(own), width, rerank), -1, dtype=np.int32)
         by_cell = np.argsort(look.ravel(), kind="stable")
         cuts = np.searchsorted(look.ravel()[by_cell], np.arange(q.k + 1))
-        for cell in range(q.k):
-            members, askers = order[begins[cell] : begins[cell + 1]], by_cell[cuts[cell] : cuts[cell + 1]]
-            if not len(members) or not len(askers):
-                continue
-            row, slot = askers // width, askers % width
-            t = tables[row]
+        row_of, hit_of, score_of = [], [], []
+        for cell in np.flatnonzero((np.diff(begins) > 0) & (np.diff(cuts) > 0)):
+            members, row = order[begins[cell] : begins[cell + 1]], by_cell[cuts[cell] : cuts[cell + 1]] // width
             score = np.zeros((len(row), len(members)), dtype=np.float32)
+            at = row[:, None] * q.k
             for m in range(q.m):
-                score += t[:, m][:, codes[members, m]]
+                score += np.take(tables[m], at + codes[members, m])
             score /= norms[members]
-            if len(members) > rerank:
-                top = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
-                best[row, slot], place[row, slot] = np.take_along_axis(score, top, axis=1), members[top]
-            else:
-                best[row, slot, : len(members)], place[row, slot, : len(members)] = score, members
-        best, place = best.reshape(len(own), -1), place.reshape(len(own), -1)
-        top = np.argpartition(-best, rerank, axis=1)[:, : rerank + 1] if best.shape[1] > rerank + 1 else np.tile(np.arange(best.shape[1]), (len(own), 1))
-        place = np.take_along_axis(place, top, axis=1)
-        row, col = np.nonzero(place >= 0)
-        hit = place[row, col]
-        rough = np.einsum("nd,nd->n", own[row], base[hit])
-        keep = (rough >= least - 1e-4) & (asked_ids[i + row] != base_ids[hit])
-        found.append((i + row[keep], hit[keep]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
-    cosine = np.einsum("nd,nd->n", asked[a].astype(np.float64), base[b].astype(np.float64))
-    return a, b, cosine
+            r, c = np.nonzero(score >= bound[members]) if bound is not None else np.indices(score.shape).reshape(2, -1)
+            row_of.append(row[r])
+            hit_of.append(members[c])
+            if bound is None:
+                score_of.append(score[r, c])
+        if not row_of:
+            continue
+        row, hit = np.concatenate(row_of), np.concatenate(hit_of)
+        if bound is None:
+            best = np.lexsort((-np.concatenate(score_of), row))
+            row, hit = row[best], hit[best]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, hit = row[place <= rerank], hit[place <= rerank]  # one more, as the vector itself may be among them
+        keep = asked_ids[i + row] != base_ids[hit]
+        rows.append(i + row[keep])
+        hits.append(hit[keep])
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    a, b = np.concatenate(rows), np.concatenate(hits)
+    cosine = np.concatenate([np.einsum("nd,nd->n", asked[a[i : i + 65536]].astype(np.float64), base[b[i : i + 65536]].astype(np.float64)) for i in range(0, len(a), 65536)] or [np.zeros(0)])
+    keep = cosine >= least
+    return a[keep], b[keep], cosine[keep]

@@ -3,7 +3,7 @@
 One quantiser is fitted to a bounded sample (``TRAIN_ROWS``). The entries of its first codebook make cells: a vector lives
 in the cell of its nearest entry and looks into its ``PROBES`` nearest cells. Every vector is indexed and every vector asks.
 
-A collection of up to ``SHARD_ROWS`` vectors is one shard. A larger one has a shard per cell, or several where a cell has
+A collection of up to ``SHARD_ROWS`` vectors is one shard, which each block of ``BLOCK_ROWS`` askers gets. A larger one has a shard per cell, or several where a cell has
 more than that: its vectors live in one of them and visit all shards of the cells they look into, so no task ever holds
 more than a shard and its visitors. Within a shard candidates are scored by look-up tables over the codes, and the best
 ``RERANK`` are reranked by their exact cosine.
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.additive import Quantiser, search
+from corvine.llm.additive import ENTRIES, Quantiser, search
 from corvine.session import prepare
 
 TRAIN_ROWS = 16_384
 PROBES = 16
 RERANK = 16
-SHARD_ROWS = 32_768
+SHARD_ROWS = 65_536
+BLOCK_ROWS = 4_096
 
 
 def usable(vector: str, dimensions: int) -> Column:
@@ -49,8 +50,9 @@ def _unit(vectors: pa.Array, dimensions: int) -> np.ndarray:
 
 
 def train(vectors: DataFrame, vector: str, dimensions: int, rows: int = TRAIN_ROWS) -> Quantiser | None:
-    """A quantiser of at most ``rows`` usable vectors, those with the smallest hash; None if there are none."""
-    sample = vectors.where(usable(vector, dimensions)).select(vector).orderBy(F.xxhash64(vector)).limit(rows).toArrow()
+    """A quantiser of at most ``rows`` usable vectors, chosen by hash; None if there are none."""
+    every = max(1, -(-vectors.count() // rows))
+    sample = vectors.where(F.pmod(F.xxhash64(vector), F.lit(every)) == 0).where(usable(vector, dimensions)).select(vector).limit(rows).toArrow()
     return Quantiser.train(_unit(sample.column(0).combine_chunks(), dimensions)) if sample.num_rows else None
 
 
@@ -82,7 +84,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dimensions:
         return spark.createDataFrame([], schema + ", place int")
     books = spark.sparkContext.broadcast(quantiser.books)  # 393 kB at most for 64 dimensions
 
-    def shards(batches):
+    def coder(batches):
         q = Quantiser(books.value)
         for batch in batches:
             if not batch.num_rows:
@@ -90,34 +92,39 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dimensions:
             x = _unit(batch.column(2), dimensions)
             near = q.nearest_entries(x, PROBES)
             probes = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel().astype(np.int16)))
-            raw = pa.array([v.tobytes() for v in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, probes], names=["id", "collection", "unit", "probes"])
+            raw = [v.tobytes() + c.tobytes() for v, c in zip(x, q.encode(x))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), probes], names=["id", "collection", "unit", "probes"])
 
-    coded = classes.select("id", "collection", "vector").mapInArrow(shards, "id long, collection string, unit binary, probes array<short>")
     sizes = rows.groupBy("collection").agg(F.count("*").alias("size"))  # copies count here, which only makes more shards
-    placed = coded.join(sizes, "collection")
-    cells = F.when(F.col("size") <= SHARD_ROWS, F.array(F.lit(-1).cast("short"))).otherwise(F.col("probes"))
-    parts = F.ceil(F.col("size") / F.lit(SHARD_ROWS * 16.0)).cast("int")  # a cell is seldom over 16 times its share
-    visits = placed.select("collection", "id", "unit", "probes", parts.alias("parts"), F.posexplode(cells).alias("turn", "cell"))
-    home_part = F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int")
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", (F.col("turn") == 0) & (F.col("part") == home_part))
+    coded = classes.select("id", "collection", "vector").mapInArrow(coder, "id long, collection string, unit binary, probes array<short>").join(sizes, "collection")
+    # One shard: every block of askers has all vectors. More: a shard, or several, per cell, which gets visitors.
+    small = F.col("size") <= SHARD_ROWS
+    cells = F.when(small, F.array(F.lit(-1).cast("short"))).otherwise(F.col("probes"))
+    parts = F.when(small, F.ceil(F.col("size") / F.lit(BLOCK_ROWS))).otherwise(F.ceil(F.col("size") * 16 / F.lit(SHARD_ROWS * ENTRIES))).cast("int")  # a cell is seldom over 16 times its share
+    visits = (
+        coded.select("collection", "id", "unit", small.alias("small"), parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("own"), F.posexplode(cells).alias("turn", "cell"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        .withColumn("home", F.col("small") | ((F.col("turn") == 0) & (F.col("part") == F.col("own"))))
+        .withColumn("asks", ~F.col("small") | (F.col("part") == F.col("own")))
+    )
 
     def shard(key, t):
         q = Quantiser(books.value)
         ids = t.column("id").to_numpy()
-        x = np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.float32).reshape(len(ids), -1)
-        home = t.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        probes = t.column("probes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.int64)
+        raw = np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        x, codes = np.ascontiguousarray(raw[:, : 4 * dimensions]).view(np.float32), raw[:, 4 * dimensions :]
+        home, asks = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("home", "asks"))
         if (cell := key[1].as_py()) >= 0:
-            probes = np.full((len(ids), 1), cell)
-        cells = probes[home][:, 0]
-        a, b, cosine = search(q, x[home], ids[home], x, ids, cells, probes, RERANK, least)
-        keep = cosine >= least
-        return pa.table({"collection": pa.array([key[0].as_py()] * int(keep.sum()), pa.string()), "id": ids[a][keep], "neighbour": ids[home][b][keep], "similarity": cosine[keep]})
+            cells, probes = np.full(int(home.sum()), cell), np.full((int(asks.sum()), 1), cell)
+        else:
+            cells, probes = q.nearest_entries(x[home], 1)[:, 0], q.nearest_entries(x[asks], PROBES)
+        a, b, cosine = search(q, x[home], codes[home], ids[home], x[asks], ids[asks], cells, probes, RERANK, least)
+        return pa.table({"collection": pa.array([key[0].as_py()] * len(a), pa.string()), "id": ids[asks][a], "neighbour": ids[home][b], "similarity": cosine})
 
-    pairs = visits.select("collection", "cell", "part", "id", "unit", "probes", "home").groupBy("collection", "cell", "part").applyInArrow(shard, schema)
+    pairs = visits.select("collection", "cell", "part", "id", "unit", "home", "asks").groupBy("collection", "cell", "part").applyInArrow(shard, schema)
     if least > 0:  # what one of two finds, the other may have missed
-        pairs = pairs.unionByName(pairs.select("collection", F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "similarity"))
+        both_ways = F.array(F.struct("id", "neighbour"), F.struct(F.col("neighbour").alias("id"), F.col("id").alias("neighbour")))
+        pairs = pairs.select("collection", "similarity", F.explode(both_ways).alias("p")).select("collection", "p.id", "p.neighbour", "similarity")
     copies = _copies(rows, classes, k + 1)
     alike = copies.select("collection", F.element_at("ids", 1).alias("id"), "ids")
     own, other = alike.withColumnRenamed("ids", "own"), alike.select("collection", F.col("id").alias("neighbour"), F.col("ids").alias("other"))

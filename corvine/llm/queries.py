@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import leaks, neighbours, repetition, spans, tokenize
+from corvine.llm import leaks, neighbours, repetition, secrets, spans, tokenize
 from corvine.session import table
 
 
@@ -34,6 +34,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")).distinct()
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_redacted(spark, sf).select("chunk_id", "line_no")
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.credentials(table(spark, sf, "chunks"), "text_content", "id").withColumnRenamed("id", "chunk_id")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode(table(spark, sf, "documents"), "text", "doc_id")
 
@@ -55,4 +63,4 @@ def p10_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p3_found, p3_neighbours, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p3_found, p3_neighbours, p4_found, p4_redacted, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
