@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import leaks, neighbours, repetition, secrets, spans, tokenize
+from corvine.llm import leaks, markup, neighbours, repetition, secrets, spans, tokenize
 from corvine.session import table
 
 
@@ -19,6 +19,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_spans(spark, sf).select("chunk_id")
 
 
+def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.regexp_extract(F.lower("slug"), r"-([a-z0-9_]+)--[0-9]+$", 1)
+    prose = table(spark, sf, "chunks").where(kind.isin(*markup.PROSE))
+    return markup.cleaned(prose, "text_content", "section_title", "id").withColumnRenamed("id", "chunk_id")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_clean(spark, sf).where("notation > 0").select("chunk_id").distinct()
+
+
 def _tracked_vectors(spark: SparkSession, sf: str) -> DataFrame:
     tracked = table(spark, sf, "chunk_vectors").select(F.col("chunk_id").alias("id"), "collection").distinct()
     return neighbours.latest_vectors(table(spark, sf, "embedresult")).join(tracked, "id")
@@ -63,4 +73,4 @@ def p10_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p3_found, p3_neighbours, p4_found, p4_redacted, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p2_found, p2_clean, p3_found, p3_neighbours, p4_found, p4_redacted, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
