@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import leaks, markup, neighbours, repetition, secrets, spans, tokenize
+from corvine.llm import leaks, markup, neighbours, provenance, repetition, secrets, spans, tokenize
 from corvine.session import table
 
 
@@ -52,6 +52,14 @@ def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.credentials(table(spark, sf, "chunks"), "text_content", "id").withColumnRenamed("id", "chunk_id")
 
 
+def p5_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.not_handwritten(*(table(spark, sf, t) for t in ("files", "documents", "chunks")))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_kinds(spark, sf).select("file_id")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode(table(spark, sf, "documents"), "text", "doc_id")
 
@@ -73,4 +81,4 @@ def p10_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p2_found, p2_clean, p3_found, p3_neighbours, p4_found, p4_redacted, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p2_found, p2_clean, p3_found, p3_neighbours, p4_found, p4_redacted, p5_found, p5_kinds, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
