@@ -189,20 +189,19 @@ def search(index: Index, chunks: DataFrame, query: str, collection: str | None =
     if limit >= 0:
         hits = hits.orderBy(F.desc("rank"), "chunk_id").limit(limit)
     if with_snippet and "text_content" in chunks.columns:
-        hits = hits.withColumn("snippet", snippet(F.col("text_content"), phrases(parse(query))))
+        hits = with_snippets(hits, phrases(parse(query)))
     return hits.orderBy(F.desc("rank"), "chunk_id")
 
 
-def snippet(text: Column, wanted: list[Phrase], width: int = 5) -> Column:
-    """The ``width`` tokens of a text that hold most of the phrases, with the text between them; dots where it goes on.
+def with_snippets(rows: DataFrame, wanted: list[Phrase], text: str = "text_content", width: int = 5) -> DataFrame:
+    """Adds ``snippet``: the ``width`` tokens of the text that hold most of the phrases; dots where the text goes on.
 
     A window starts at each occurrence of a phrase, and at the start of the sentence it is in. It counts 1000 for each
     phrase it holds and 1 for each further occurrence, and 100 more for a sentence's start (120 for the text's). The first
     of the best windows is taken; unless it starts with a sentence, it is moved so that its phrases stand in its middle.
     """
-    text = F.coalesce(text, F.lit(""))
-    folded = tokens(text)
-    n = F.size(folded)
+    kept = [p for p in wanted if p.tokens]
+    content, folded, pieces, n, head = (F.col(c) for c in ("_text", "_folded", "_pieces", "_n", "_head"))
     places = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
 
     def hits(number: int, p: Phrase) -> Column:
@@ -214,38 +213,40 @@ def snippet(text: Column, wanted: list[Phrase], width: int = 5) -> Column:
 
         return F.transform(F.filter(places, here), lambda i: F.struct(i.alias("at"), F.lit(number).alias("phrase"), F.lit(len(p.tokens)).alias("size")))
 
-    # a piece is a token and what follows it; one without a token may come first
-    pieces = F.split(text, r"(?=[\p{L}\p{N}\p{Co}])(?<![\p{L}\p{M}\p{N}\p{Co}])")
-    head = F.when(F.element_at(pieces, 1).rlike(r"^[\p{L}\p{N}\p{Co}]"), F.lit(0)).otherwise(F.lit(1))
-    opens = F.filter(places, lambda i: (i == 0) | F.coalesce(F.get(pieces, i + head - 1).rlike(r"[.:][ \t\r\n]+$"), F.lit(False)))
-    kept = [p for p in wanted if p.tokens]
-    found = F.array_sort(F.concat(*[hits(i, p) for i, p in enumerate(kept)])) if kept else F.array().cast("array<struct<at:int,phrase:int,size:int>>")
+    found, opens = F.col("_found"), F.col("_opens")
 
     def inside(start: Column) -> Column:
         return F.filter(found, lambda h: (h["at"] >= start) & (h["at"] < start + width))
 
-    def score(start: Column) -> Column:
-        own = inside(start)
-        distinct = F.size(F.array_distinct(F.transform(own, lambda h: h["phrase"])))
-        return distinct * 999 + F.size(own)
-
-    def centred(start: Column) -> Column:
-        last = F.element_at(inside(start), -1)
-        moved = start - ((F.lit(width) - (last["at"] + last["size"] - start)) / 2).cast("int")
-        return F.greatest(F.lit(0), F.least(moved, n - width))
+    def score(own: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(own, lambda h: h["phrase"]))) * 999 + F.size(own)
 
     def candidates(h: Column) -> Column:
         sentence = F.array_max(F.filter(opens, lambda i: i <= h["at"]))
-        bonus = F.when(sentence == 0, F.lit(120)).otherwise(F.lit(100))
-        own = F.struct(score(h["at"]).alias("score"), (-2 * h["at"]).alias("order"), centred(h["at"]).alias("start"))
-        begin = F.struct((score(sentence) + bonus).alias("score"), (-2 * h["at"] - 1).alias("order"), sentence.alias("start"))
-        return F.when(sentence < h["at"], F.array(own, begin)).otherwise(F.array(own))
-
-    best = F.coalesce(F.array_max(F.flatten(F.transform(found, candidates)))["start"], F.lit(0))
-    shown = F.array_join(F.slice(pieces, best + head + 1, width), "")
-    ended = F.when(n > best + width, F.concat(F.regexp_replace(shown, r"[^\p{L}\p{M}\p{N}\p{Co}]+$", ""), F.lit("..."))).otherwise(shown)
-    begun = F.when(best > 0, F.lit("...")).otherwise(F.array_join(F.slice(pieces, F.lit(1), head), ""))
-    return F.when(n <= width, text).otherwise(F.concat(begun, ended))
+        return F.struct(h["at"].alias("at"), inside(h["at"]).alias("own"), sentence.alias("sentence"), inside(sentence).alias("of_sentence"))
+
+    def windows(c: Column) -> Column:
+        last = F.element_at(c["own"], -1)
+        moved = c["at"] - ((F.lit(width) - (last["at"] + last["size"] - c["at"])) / 2).cast("int")
+        here = F.struct(score(c["own"]).alias("score"), (-2 * c["at"]).alias("order"), F.greatest(F.lit(0), F.least(moved, n - width)).alias("start"))
+        bonus = F.when(c["sentence"] == 0, F.lit(120)).otherwise(F.lit(100))
+        begin = F.struct((score(c["of_sentence"]) + bonus).alias("score"), (-2 * c["at"] - 1).alias("order"), c["sentence"].alias("start"))
+        return F.when(c["sentence"] < c["at"], F.array(here, begin)).otherwise(F.array(here))
+
+    nothing = F.array().cast("array<struct<at:int,phrase:int,size:int>>")
+    best = F.coalesce(F.array_max(F.flatten(F.transform("_candidates", windows)))["start"], F.lit(0))
+    shown = F.array_join(F.slice(pieces, F.col("_best") + head + 1, width), "")
+    ended = F.when(n > F.col("_best") + width, F.concat(F.regexp_replace("_shown", r"[^\p{L}\p{M}\p{N}\p{Co}]+$", ""), F.lit("..."))).otherwise(F.col("_shown"))
+    begun = F.when(F.col("_best") > 0, F.lit("...")).otherwise(F.array_join(F.slice(pieces, F.lit(1), head), ""))
+    out = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    # a piece is a token and what follows it; one without a token may come first
+    out = out.withColumns({"_folded": tokens(content), "_pieces": F.split(content, r"(?=[\p{L}\p{N}\p{Co}])(?<![\p{L}\p{M}\p{N}\p{Co}])")})
+    out = out.withColumns({"_n": F.size(folded), "_head": F.when(F.element_at(pieces, 1).rlike(r"^[\p{L}\p{N}\p{Co}]"), F.lit(0)).otherwise(F.lit(1))})
+    opening = F.filter(places, lambda i: (i == 0) | F.coalesce(F.get(pieces, i + head - 1).rlike(r"[.:][ \t\r\n]+$"), F.lit(False)))
+    out = out.withColumns({"_found": F.array_sort(F.concat(*[hits(i, p) for i, p in enumerate(kept)])) if kept else nothing, "_opens": opening})
+    out = out.withColumn("_candidates", F.transform(found, candidates)).withColumn("_best", best).withColumn("_shown", shown)
+    out = out.withColumn("snippet", F.when(n <= width, content).otherwise(F.concat(begun, ended)))
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in rows.columns])
 
 
 def grouped_by_file(hits: DataFrame, limit: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corvine.plans import upkeep
+from corvine.plans import search, upkeep
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(upkeep.SQL)
+    return search.SQL | upkeep.SQL

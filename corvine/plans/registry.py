@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.plans import upkeep
+from corvine.plans import search, upkeep
 
-FLAGSHIP = "p6_found"
+FLAGSHIP = "hybrid_rrf"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return upkeep.QUERIES
+    return search.QUERIES | upkeep.QUERIES
