@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corvine.plans import search, upkeep
+from corvine.plans import collections, search, texts, upkeep
 
 
 def oracle_sql() -> dict[str, str]:
-    return search.SQL | upkeep.SQL
+    return search.SQL | texts.SQL | collections.SQL | upkeep.SQL

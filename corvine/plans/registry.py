@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.plans import search, upkeep
+from corvine.plans import collections, search, texts, upkeep
 
 FLAGSHIP = "hybrid_rrf"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return search.QUERIES | upkeep.QUERIES
+    return search.QUERIES | texts.QUERIES | collections.QUERIES | upkeep.QUERIES
