@@ -8,12 +8,13 @@ dies after it has committed them, so they don't.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.sources.snapshots import Pointer
+
 
 def newest_versions(rows: DataFrame, key: str = "file_path", version: str = "modified_at", hash_col: str = "content_hash") -> DataFrame:
     """One row per key: that with the greatest version.
@@ -73,22 +74,10 @@ class StateStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path(self.root).getFileSystem(self._conf)
-
-    def _path(self, p: str):
-        return self._jvm.org.apache.hadoop.fs.Path(p)
+        self._current = Pointer(spark, f"{self.root}/CURRENT")
 
     def pointer(self) -> dict | None:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self._current.read()
 
     def state(self) -> DataFrame:
         now = self.pointer()
@@ -116,12 +105,4 @@ class StateStore:
         return n
 
     def _swap(self, pointer: dict) -> None:
-        temporary = self._path(f"{self.root}/.pointer-{uuid.uuid4().hex}")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps(pointer).encode()))
-        out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self._conf)
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(temporary, self._path(f"{self.root}/CURRENT"), options)
+        self._current.swap(pointer)
