@@ -26,8 +26,8 @@ class Symbols:
     """The symbols of several texts, one text after another.
 
     ``name``; ``start`` and ``size`` in characters; ``low`` and ``high`` bound the characters that decide about the symbol
-    (a place before the text or FAR after it if the text's edge does); ``text`` numbers the texts. Places count from the
-    beginning of all texts.
+    (a place before the text or FAR after it if the text's edge does), and neither falls from a symbol to the next one;
+    ``text`` numbers the texts. Places count from the beginning of all texts.
     """
 
     def __init__(self, codes: np.ndarray, bounds: np.ndarray):
@@ -62,10 +62,8 @@ class Symbols:
         low_before[np.concatenate([[True], last[head[1:] - 1]])] = -FAR
         high_after = np.where(last[tail], FAR, self.high[np.minimum(tail + 1, len(self.name) - 1)])
         looks = short[head]
-        low = np.minimum.reduceat(self.low, head)
-        high = np.maximum.reduceat(self.high, head)
-        low = np.where(looks, np.minimum(low, low_before), low).astype(np.int32)
-        high = np.where(looks, np.maximum(high, high_after), high).astype(np.int32)
+        low = np.where(looks, low_before, self.low[head]).astype(np.int32)
+        high = np.where(looks, high_after, self.high[tail]).astype(np.int32)
         size = np.add.reduceat(self.size, head).astype(np.int32)
         count = (tail - head + 1).astype(np.uint64)
         self._keep(head)
@@ -82,22 +80,20 @@ class Symbols:
         side = ((self.name >> np.uint64(7 + number)) & np.uint64(1)).astype(bool)  # True: right
         left, right = short & ~side, short & side
         low, high = self.low, self.high
+        # left symbols look at the next one, right symbols at the one before; bounds never fall from one symbol to the next,
+        # so a look to the right only moves the upper bound, one to the left only the lower
+        inner = ~last[:-1]
         new_low, new_high = low.copy(), high.copy()
-        # left symbols look at the next one, right symbols at the one before
-        to_next, to_before = left[:-1] & ~last[:-1], right[1:] & ~last[:-1]
-        np.minimum(new_low[:-1], low[1:], out=new_low[:-1], where=to_next)
-        np.maximum(new_high[:-1], high[1:], out=new_high[:-1], where=to_next)
-        np.minimum(new_low[1:], low[:-1], out=new_low[1:], where=to_before)
-        np.maximum(new_high[1:], high[:-1], out=new_high[1:], where=to_before)
-        first = np.concatenate([[True], last[:-1]])
+        new_high[:-1] = np.where(left[:-1] & inner, high[1:], high[:-1])
+        new_low[1:] = np.where(right[1:] & inner, low[:-1], low[1:])
         new_high[left & last] = FAR
-        new_low[right & first] = -FAR
-        joined = np.flatnonzero(left[:-1] & right[1:] & ~last[:-1])
+        new_low[0] = -FAR if right[0] else new_low[0]
+        first = np.flatnonzero(last[:-1]) + 1
+        new_low[first[right[first]]] = -FAR
+        joined = np.flatnonzero(left[:-1] & right[1:] & inner)
         name, size = self.name, self.size
         name[joined] = mix(name[joined] * _ONE ^ (name[joined + 1] * _TWO + np.uint64(number)))
         size[joined] += size[joined + 1]
-        new_low[joined] = np.minimum(new_low[joined], new_low[joined + 1])
-        new_high[joined] = np.maximum(new_high[joined], new_high[joined + 1])
         keep = np.ones(n, dtype=bool)
         keep[joined + 1] = False
         self.low, self.high = new_low, new_high

@@ -28,7 +28,7 @@ from corvine.llm.words import Rolling, mix
 from corvine.session import materialize, prepare
 
 LEAST = 200
-PARSE_CHARS = 1_000_000  # parsed at once
+PARSE_CHARS = 250_000  # parsed at once
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
