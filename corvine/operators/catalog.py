@@ -54,6 +54,9 @@ def pending(chunks: DataFrame, tracked: DataFrame, worth: bool = True) -> DataFr
     return own.join(tracked.select("chunk_id"), "chunk_id", "left_anti")
 
 
+ENRICHING = ("document_id", "line_start", "line_end", "section_title", "slug")
+
+
 def enriched(hits: DataFrame, chunks: DataFrame, documents: DataFrame, files: DataFrame) -> DataFrame:
     """Hits (chunk_id, ...) with document_id, slug, line range and file_path; a hit that leads to no file is left out."""
     own = chunks.select("chunk_id", "document_id", "line_start", "line_end", "section_title", F.col("slug").alias("chunk_slug"))

@@ -29,9 +29,10 @@ class Index:
     lengths: DataFrame | None = None
 
     @classmethod
-    def of(cls, chunks: DataFrame, key: str = "chunk_id", text: str = "text_content") -> Index:
-        """An index that is computed as it is asked; rows repeated under an id count once."""
-        rows = chunks.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("chunk_id")).agg(F.max(text).alias("text"))
+    def of(cls, chunks: DataFrame, key: str = "chunk_id", text: str = "text_content", distinct: bool = False) -> Index:
+        """An index that is computed as it is asked; rows repeated under an id count once. ``distinct``: there are none."""
+        rows = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(text).alias("text"))
+        rows = rows if distinct else rows.groupBy("chunk_id").agg(F.max("text").alias("text"))
         return cls(rows.select("chunk_id", tokens(F.col("text")).alias("tokens")))
 
     @classmethod

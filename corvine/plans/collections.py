@@ -41,7 +41,7 @@ def _gone(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
-    kept = sync.cascade(model.files(spark, sf), model.documents(spark, sf), model.chunks(spark, sf), _gone(spark, sf))
+    kept = sync.cascade(model.files(spark, sf), model.documents(spark, sf), model.chunks(spark, sf, "document_id"), _gone(spark, sf))
     keys = (("files", "file_id"), ("documents", "document_id"), ("chunks", "chunk_id"))
     counts = [t.agg(F.count("*").alias("rows"), F.sum(key).alias("sum_ids")).select(F.lit(n).alias("table_name"), "rows", "sum_ids") for t, (n, key) in zip(kept, keys)]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
@@ -49,7 +49,7 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 def sync_prune(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks that stay once the documents of removed files are gone."""
-    _, _, chunks = sync.cascade(model.files(spark, sf), model.documents(spark, sf), model.chunks(spark, sf), _gone(spark, sf))
+    _, _, chunks = sync.cascade(model.files(spark, sf), model.documents(spark, sf), model.chunks(spark, sf, "document_id"), _gone(spark, sf))
     return chunks.select("chunk_id")
 
 
@@ -58,11 +58,11 @@ def orphan_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stats_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.totals(model.files(spark, sf), model.documents(spark, sf), model.chunks(spark, sf))
+    return catalog.totals(model.files(spark, sf), model.documents(spark, sf), model.chunks(spark, sf, "total_chars"))
 
 
 def stats_per_collection(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.per_collection(model.documents(spark, sf), model.chunks(spark, sf))
+    return catalog.per_collection(model.documents(spark, sf), model.chunks(spark, sf, "document_id", "total_chars"))
 
 
 def stats_config_reconcile(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +92,7 @@ def orphan_vectors_by_collection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pending_embed(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.pending(model.chunks(spark, sf), model.tracked(spark, sf)).select("chunk_id")
+    return catalog.pending(model.chunks(spark, sf, "text_content"), model.tracked(spark, sf)).select("chunk_id")
 
 
 def vector_prune(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +108,7 @@ def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_mark(spark: SparkSession, sf: str) -> DataFrame:
     tracked = model.tracked(spark, sf)
-    new = model.chunks(spark, sf).select("chunk_id", "collection")
+    new = model.chunks(spark, sf, "collection")
     return vectors.mark(tracked, new).select("chunk_id", "collection")
 
 
@@ -118,7 +118,7 @@ def vector_clear(spark: SparkSession, sf: str) -> DataFrame:
 
 def result_file_enrich(spark: SparkSession, sf: str) -> DataFrame:
     hits = model.tracked(spark, sf).select("chunk_id")
-    return catalog.enriched(hits, model.chunks(spark, sf), model.documents(spark, sf), model.files(spark, sf)).select("chunk_id", "document_id", "file_path", "line_start", "line_end")
+    return catalog.enriched(hits, model.chunks(spark, sf, *catalog.ENRICHING), model.documents(spark, sf), model.files(spark, sf)).select("chunk_id", "document_id", "file_path", "line_start", "line_end")
 
 
 QUERIES = {

@@ -1,7 +1,7 @@
 """The index's data model over the Parquet tables: one row per record, with the names the operators use.
 
-Repeated rows of an id are one record; of versions of a file the newest counts. Which of unequal repeats of an id is kept is
-settled by the greatest row, so every run gives the same.
+Repeated rows of an id are one record; of versions of a file the newest counts. Repeats of a chunk are the same row; were they
+not, the greatest value of each column would count, so every run gives the same.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), *columns)
 
 
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["document_id", "collection", "chunk_index", "text_content", "total_chars", "line_start", "line_end", "section_num", "section_title", "slug"]
-    return table(spark, sf, "chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.max(F.struct(*columns)).alias("n")).select("chunk_id", *[f"n.{c}" for c in columns])
+def chunks(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """One row per chunk_id, with just the columns asked for, so that no query reads texts it doesn't need."""
+    rows = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), *columns)
+    return rows.groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in columns]) if columns else rows.distinct()
 
 
 def tracked(spark: SparkSession, sf: str) -> DataFrame:

@@ -27,8 +27,8 @@ TEXT_QUERIES = {
 
 
 def _search(spark: SparkSession, sf: str, query: str, collection: str | None = None, limit: int = POOL) -> DataFrame:
-    chunks = model.chunks(spark, sf)
-    return fulltext.search(fulltext.Index.of(chunks), chunks.select("chunk_id", "collection"), query, collection, limit, with_snippet=False)
+    index = fulltext.Index.of(model.chunks(spark, sf, "text_content"), distinct=True)
+    return fulltext.search(index, model.chunks(spark, sf, "collection"), query, collection, limit, with_snippet=False)
 
 
 def _ranked(name: str, query: str):
@@ -44,23 +44,23 @@ def fts_bm25_collection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fts_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = model.chunks(spark, sf)
-    return fulltext.search(fulltext.Index.of(chunks), chunks, "shared snapshot", limit=POOL).select("chunk_id", "snippet", F.round("rank", 6).alias("rank"))
+    chunks = model.chunks(spark, sf, "text_content")
+    return fulltext.search(fulltext.Index.of(chunks, distinct=True), chunks, "shared snapshot", limit=POOL).select("chunk_id", "snippet", F.round("rank", 6).alias("rank"))
 
 
 def fts_grouped_by_file(spark: SparkSession, sf: str) -> DataFrame:
-    from corvine.operators.catalog import enriched
+    from corvine.operators.catalog import ENRICHING, enriched
 
-    hits = enriched(_search(spark, sf, "shared snapshot").select("chunk_id", "rank"), model.chunks(spark, sf), model.documents(spark, sf), model.files(spark, sf))
+    hits = enriched(_search(spark, sf, "shared snapshot").select("chunk_id", "rank"), model.chunks(spark, sf, *ENRICHING), model.documents(spark, sf), model.files(spark, sf))
     return fulltext.grouped_by_file(hits, 5).select("chunk_id", "file_path", "file_place", "file_hits")
 
 
 def postings_df_topn(spark: SparkSession, sf: str) -> DataFrame:
-    return fulltext.Index.of(model.chunks(spark, sf)).document_frequencies().orderBy(F.desc("n_rows"), "term").limit(50)
+    return fulltext.Index.of(model.chunks(spark, sf, "text_content"), distinct=True).document_frequencies().orderBy(F.desc("n_rows"), "term").limit(50)
 
 
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return fulltext.Index.of(model.chunks(spark, sf)).statistics().select("n_rows", F.round("avg_tokens", 6).alias("avg_tokens"))
+    return fulltext.Index.of(model.chunks(spark, sf, "text_content"), distinct=True).statistics().select("n_rows", F.round("avg_tokens", 6).alias("avg_tokens"))
 
 
 def _query_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -92,7 +92,7 @@ def vector_dim_count(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_hits_with_chunks(spark: SparkSession, sf: str) -> DataFrame:
     hits = vectors.top_k(model.vectors(spark, sf), _query_vector(spark, sf), POOL)
-    shown = vectors.with_chunks(hits, model.chunks(spark, sf))
+    shown = vectors.with_chunks(hits, model.chunks(spark, sf, "document_id", "text_content"))
     return shown.select("chunk_id", "document_id", F.round("score", 6).alias("score"), T.snippet(F.col("text_content")).alias("snippet"))
 
 

@@ -36,7 +36,7 @@ def line_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def worth_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    return model.chunks(spark, sf).where(T.worth_embedding(F.col("text_content"))).select("chunk_id")
+    return model.chunks(spark, sf, "text_content").where(T.worth_embedding(F.col("text_content"))).select("chunk_id")
 
 
 def metadata_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +80,7 @@ def md_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 def md_section_asof(spark: SparkSession, sf: str) -> DataFrame:
     own = chunking.sections(_lines(spark, sf), ["doc_id"]).where("level > 0").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", T.heading_title(F.col("line")).alias("title"))).alias("headings"))
-    chunks = model.chunks(spark, sf).select("chunk_id", F.col("document_id").alias("doc_id"), "line_start")
+    chunks = model.chunks(spark, sf, "document_id", "line_start").withColumnRenamed("document_id", "doc_id")
     return chunks.join(own, "doc_id").select("chunk_id", chunking.heading_at(F.col("headings"), F.col("line_start")).alias("title"))
 
 
@@ -109,7 +109,7 @@ def wordpiece_encode(spark: SparkSession, sf: str) -> DataFrame:
     """With a small vocabulary of letters and common endings, as no model's vocabulary is at hand."""
     pieces = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789.,;:!?", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"), "the", "and", "##ing", "##er", "##or", "##tion"]
     tokenizer = WordPiece({"vocab": {p: i for i, p in enumerate(pieces)}, "continuing_subword_prefix": "##"})
-    rows = model.chunks(spark, sf).select("chunk_id", encode(F.col("text_content"), tokenizer, 512).alias("t"))
+    rows = model.chunks(spark, sf, "text_content").select("chunk_id", encode(F.col("text_content"), tokenizer, 512).alias("t"))
     return rows.select("chunk_id", F.aggregate("t.attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), F.size("t.input_ids").alias("length"))
 
 

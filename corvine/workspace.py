@@ -175,7 +175,7 @@ class Workspace:
             mode = "fts"
         text = near = None
         if mode != "semantic":
-            text = fulltext.search(fulltext.Index.of(chunks), chunks.select("chunk_id", "collection"), query, collection, pool, with_snippet=False).select("chunk_id", "rank")
+            text = fulltext.search(fulltext.Index.of(chunks, distinct=True), chunks.select("chunk_id", "collection"), query, collection, pool, with_snippet=False).select("chunk_id", "rank")
         if mode != "fts":
             asked = [float(x) for x in embedder.embed([query])[0]]
             near = vectors.top_k(self.tables.read("vectors"), asked, pool, collection).select("chunk_id", F.col("score").alias("rank"))
