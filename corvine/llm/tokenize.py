@@ -115,6 +115,7 @@ def compile_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> t
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(target)
     fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.deleteOnExit(at)
     if plain := local_file(target):
         fs.mkdirs(at.getParent())
         with open(plain, "wb") as f:
