@@ -22,26 +22,31 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass
 class Index:
-    """``tokens``: chunk_id, collection, tokens (array); or, if built, ``postings``: chunk_id, position, term, n_tokens."""
+    """Either ``tokens`` (chunk_id, tokens), read as asked, or stored ``postings`` (chunk_id, position, term, n_tokens) and ``lengths``.
+
+    ``distinct`` says that no chunk_id has several rows. If some have, nothing is sorted out before the postings of the
+    asked terms are gathered: repeated rows have the same positions, which are gathered as sets, so texts are never
+    shuffled. Of unequal texts under one id all positions would count.
+    """
 
     tokens: DataFrame | None
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
+    distinct: bool = False
 
     @classmethod
     def of(cls, chunks: DataFrame, key: str = "chunk_id", text: str = "text_content", distinct: bool = False) -> Index:
-        """An index that is computed as it is asked; rows repeated under an id count once. ``distinct``: there are none."""
-        rows = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(text).alias("text"))
-        rows = rows if distinct else rows.groupBy("chunk_id").agg(F.max("text").alias("text"))
-        return cls(rows.select("chunk_id", tokens(F.col("text")).alias("tokens")))
+        rows = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("tokens"))
+        return cls(rows, distinct=distinct)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(None, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        return cls(None, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), True)
 
     def save(self, path: str) -> None:
         """Write postings sorted by term, so that a query's terms prune row groups."""
-        self.all_postings().repartitionByRange("term").sortWithinPartitions("term", "chunk_id", "position").write.mode("overwrite").parquet(f"{path}/postings")
+        rows = self.all_postings() if self.distinct else self.all_postings().dropDuplicates(["term", "chunk_id", "position"])
+        rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id", "position").write.mode("overwrite").parquet(f"{path}/postings")
         self.all_lengths().write.mode("overwrite").parquet(f"{path}/lengths")
 
     def all_postings(self) -> DataFrame:
@@ -50,7 +55,13 @@ class Index:
         return self.tokens.select("chunk_id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term"))
 
     def all_lengths(self) -> DataFrame:
-        return self.lengths if self.lengths is not None else self.tokens.select("chunk_id", F.size("tokens").alias("n_tokens"))
+        if self.lengths is not None:
+            return self.lengths
+        sizes = self.tokens.select("chunk_id", F.size("tokens").alias("n_tokens"))
+        return sizes if self.distinct else sizes.groupBy("chunk_id").agg(F.max("n_tokens").alias("n_tokens"))
+
+    def gathered(self, position: Column) -> Column:
+        return F.collect_list(position) if self.distinct else F.collect_set(position)
 
     def statistics(self) -> DataFrame:
         """One row: n_rows, avg_tokens."""
@@ -58,7 +69,8 @@ class Index:
 
     def document_frequencies(self) -> DataFrame:
         """term, n_rows (chunks with it), n_total (occurrences)."""
-        return self.all_postings().groupBy("term", "chunk_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("n_rows"), F.sum("tf").alias("n_total"))
+        per_chunk = self.all_postings().groupBy("term", "chunk_id").agg((F.count("*") if self.distinct else F.size(F.collect_set("position"))).alias("tf"))
+        return per_chunk.groupBy("term").agg(F.count("*").alias("n_rows"), F.sum("tf").alias("n_total"))
 
 
 def _token_test(term: Column, token: str, prefix: bool) -> Column:
@@ -126,7 +138,7 @@ def match(index: Index, query: str) -> DataFrame:
         if prefix:
             any_term = any_term | F.col("term").startswith(t)
     gathered = postings.where(any_term).groupBy("chunk_id").agg(
-        F.max("n_tokens").alias("_len"), *[F.collect_list(F.when(_token_test(F.col("term"), t, prefix), F.col("position"))).alias(name) for (t, prefix), name in slots.items()]
+        F.max("n_tokens").alias("_len"), *[index.gathered(F.when(_token_test(F.col("term"), t, prefix), F.col("position"))).alias(name) for (t, prefix), name in slots.items()]
     )
     # frequency of each phrase, by itself and as far as a NEAR group lets it count
     found: list[Column] = []

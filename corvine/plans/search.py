@@ -9,6 +9,7 @@ from corvine.functions import text as T
 from corvine.functions.vectors import norm, normalized
 from corvine.operators import fulltext, fusion, vectors
 from corvine.plans import model
+from corvine.session import table
 
 POOL = 25  # five times the default limit of 5
 COLLECTION = "platform-handbook"
@@ -26,9 +27,12 @@ TEXT_QUERIES = {
 }
 
 
+def _index(spark: SparkSession, sf: str) -> fulltext.Index:
+    return fulltext.Index.of(table(spark, sf, "chunks"), "id")
+
+
 def _search(spark: SparkSession, sf: str, query: str, collection: str | None = None, limit: int = POOL) -> DataFrame:
-    index = fulltext.Index.of(model.chunks(spark, sf, "text_content"), distinct=True)
-    return fulltext.search(index, model.chunks(spark, sf, "collection"), query, collection, limit, with_snippet=False)
+    return fulltext.search(_index(spark, sf), model.chunks(spark, sf, "collection"), query, collection, limit, with_snippet=False)
 
 
 def _ranked(name: str, query: str):
@@ -45,7 +49,7 @@ def fts_bm25_collection(spark: SparkSession, sf: str) -> DataFrame:
 
 def fts_snippets(spark: SparkSession, sf: str) -> DataFrame:
     chunks = model.chunks(spark, sf, "text_content")
-    return fulltext.search(fulltext.Index.of(chunks, distinct=True), chunks, "shared snapshot", limit=POOL).select("chunk_id", "snippet", F.round("rank", 6).alias("rank"))
+    return fulltext.search(_index(spark, sf), chunks, "shared snapshot", limit=POOL).select("chunk_id", "snippet", F.round("rank", 6).alias("rank"))
 
 
 def fts_grouped_by_file(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,11 +60,11 @@ def fts_grouped_by_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def postings_df_topn(spark: SparkSession, sf: str) -> DataFrame:
-    return fulltext.Index.of(model.chunks(spark, sf, "text_content"), distinct=True).document_frequencies().orderBy(F.desc("n_rows"), "term").limit(50)
+    return _index(spark, sf).document_frequencies().orderBy(F.desc("n_rows"), "term").limit(50)
 
 
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return fulltext.Index.of(model.chunks(spark, sf, "text_content"), distinct=True).statistics().select("n_rows", F.round("avg_tokens", 6).alias("avg_tokens"))
+    return _index(spark, sf).statistics().select("n_rows", F.round("avg_tokens", 6).alias("avg_tokens"))
 
 
 def _query_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -103,8 +107,6 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sigmoid_boost(spark: SparkSession, sf: str) -> DataFrame:
-    from corvine.session import table
-
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"))
     return rows.select("l_orderkey", "l_linenumber", F.round(T.sigmoid(F.col("x"), 20.0, 5.0, 0.5), 8).alias("boost"))
 
