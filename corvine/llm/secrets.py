@@ -40,13 +40,18 @@ PLACEHOLDER = re.compile(
 )
 
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
-_ASSIGN = re.compile(
-    r"(?P<name>[A-Za-z_][\w.\-]*)(?P<q>[\"'\]]{0,2})\s*(?::=|=>|==?|:)\s*(?P<value>(?:[rbfu]{0,2}(?:" + _QUOTED + r")(?:\s*\+\s*(?:" + _QUOTED + r"))*)|[^\s,;\"'`()<>{}\[\]]+)"
+# A name with what leads to its value, and the value; apart, so that values of other names are never read to their end.
+_ASSIGN = (
+    re.compile(r"(?<![\w.])(?P<name>[A-Za-z_][\w.\-]{0,120})[\"'\]]{0,2}\s{0,40}(?::=|=>|==?|:)\s{0,40}"),
+    re.compile(r"(?P<value>(?:[rbfu]{0,2}(?:" + _QUOTED + r")(?:\s*\+\s*(?:" + _QUOTED + r"))*)|[^\s,;\"'`()<>{}\[\]]+)"),
+)
+_FLAG = (re.compile(r"(?<!\S)--?(?P<name>[A-Za-z][\w\-]{0,120})[ =]{1,9}"), re.compile(r"(?P<value>" + _QUOTED + r"|[^\s\"'`;|&]+)"))
+_INSIDE = (
+    re.compile(r"(?i)(?<![A-Za-z])(?P<name>pwd|password|passwd|pass|token|secret|api[_-]?key|access[_-]?token|access[_-]?key|sig|signature|key)="),
+    re.compile(r"(?P<value>[^;&\s\"'`,)]+)"),
 )
-_FLAG = re.compile(r"(?<!\S)--?(?P<name>[A-Za-z][\w\-]*)[ =]+(?P<value>" + _QUOTED + r"|[^\s\"'`;|&]+)")
-_INSIDE = re.compile(r"(?i)(?<![A-Za-z])(?P<name>pwd|password|passwd|pass|token|secret|api[_-]?key|access[_-]?token|access[_-]?key|sig|signature|key)=(?P<value>[^;&\s\"'`,)]+)")
 _SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token)\s+(?P<value>[A-Za-z0-9+/_.=\-~]{12,})")
-_URL = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://[^\s/:@\"'`<>]*:(?P<value>[^\s@\"'`<>]+)@")
+_URL = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]{0,30}://[^\s/:@\"'`<>]{0,200}:(?P<value>[^\s@\"'`<>]{1,500})@")
 _USER = re.compile(r"(?<!\S)(?:-u|--user)[ =]+[\"']?[\w.\-]+:(?P<value>[^\s\"'`]+)")
 _HOOK = re.compile(r"(?i)https?://[^\s/\"'`]*hook[^\s/\"'`]*/(?P<value>[^\s\"'`<>)]+)")
 _FORMS = re.compile(r"\b(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]{8,}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9\-]{10,})(?![\w])")
@@ -56,7 +61,7 @@ _PEM_BODY = re.compile(r"^(?P<lead>[^A-Za-z0-9+/]*)(?P<value>[A-Za-z0-9+/]{8,}={
 _TRIGGER = re.compile(r"(?i)pass|pwd|secret|token|key|auth|bearer|basic|cred|hook|sig|akia|asia|eyj|gh[pousr]_|xox|://|-u |--user|private")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_BLOCK = re.compile(r"(?P<name>[A-Za-z_][\w.\-]*)[\"']?\s*(?::=|=|:)\s*(?:[|>][+\-]?|\"\"\"|'''|`|\\|\(|)\s*$")
+_BLOCK = re.compile(r"(?<![\w.])(?P<name>[A-Za-z_][\w.\-]{0,120})[\"']?\s{0,40}(?::=|=|:)\s{0,40}(?:[|>][+\-]?|\"\"\"|'''|`|\\|\(|)\s*$")
 
 
 class Segmenter:
@@ -127,21 +132,22 @@ def secret_spans(line: str, words: Segmenter) -> list[tuple[int, int]]:
         left = words.residual(value)
         return len(value) >= 6 and left >= 3 if kind == "password" else len(value) >= 8 and left >= 6 and left * 4 >= len(value)
 
-    for pattern in (_ASSIGN, _FLAG, _INSIDE):
+    for names, values in (_ASSIGN, _FLAG, _INSIDE):
         at = 0
-        while m := pattern.search(line, at):
+        while m := names.search(line, at):
             at = m.end()
             kind = _name_kind(m["name"], line, m.start())
-            if not kind:
-                if pattern is _ASSIGN and not m["value"][0] in "\"'`":
-                    at = m.start("value")  # the value may be the next name
+            if not kind or not (v := values.match(line, at)):
                 continue
-            value, quoted = _literal(m["value"])
-            if not quoted and (line[m.end("value") : m.end("value") + 1] in ("(", "[") or re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+", value) or re.fullmatch(r"[\d.]+", value)):
+            value, quoted = _literal(v["value"])
+            if quoted:
+                at = v.end()
+            elif line[v.end() : v.end() + 1] in ("(", "[") or re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+", value) or re.fullmatch(r"[\d.]+", value):
                 continue  # a call, an attribute, a number
             if " " in value or plain(value) or not long_enough(value, kind):
                 continue
-            spans.append(m.span("value"))
+            spans.append(v.span("value"))
+            at = v.end()
     for m in _SCHEME.finditer(line):
         value = m["value"]
         if not plain(value) and (long_enough(value, "key") or _is_basic(value)):
@@ -190,7 +196,7 @@ def find(text: str | None, words: Segmenter) -> dict[int, list[tuple[int, int, i
             continue
         if pending and (m := re.match(r"^\s*(?:[rbfu]{0,2}[\"'`]+)?(?P<value>[A-Za-z0-9+/_.=~!@#$%^&*\-]{8,})[\"'`)]*[,;]?\s*$", line)):
             value = m["value"]
-            if not PLACEHOLDER.match(value) and words.residual(value) >= (3 if pending[0] == "password" else 8) and not _ASSIGN.match(line.strip()):
+            if not PLACEHOLDER.match(value) and words.residual(value) >= (3 if pending[0] == "password" else 8) and not _ASSIGN[0].match(line.strip()):
                 found.setdefault(pending[1] or n, []).append((n, *m.span("value")))
                 pending = (pending[0], pending[1] or n)
                 continue

@@ -150,3 +150,18 @@ def test_classifiers_hold_out_repositories(spark):
     df = spark.createDataFrame(rows, "path string, text string, repository string, n int")
     _, _, report = provenance.train(df, 160)
     assert report["path"]["cases"] == 80 and report["path"]["held_out_accuracy"] > 0.9
+
+
+HOSTILE = ["`a ``b ```c ", "[", "$a ", "*a ", "_a ", "{{", "\\[ ", "\\(", "<a x=\"", "'''a ", "\\a{", "**a ", "~~a ", "[a](b ", "<!-- ", "$$a ", "<div>", "<math>", "a1", "key = ", "http://a:b", "eyJaaaaaaaaaaaaa.", "a:", "a-", " ", "-----BEGIN RSA PRIVATE KEY-----\n"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_very_long_hostile_texts_take_linear_time(piece):
+    import time
+
+    text = piece * (120_000 // len(piece))
+    began = time.perf_counter()
+    markup.clean(markup.Reader(text), None)
+    secrets.redact(text, WORDS)
+    provenance.kind("a.py", text)
+    assert time.perf_counter() - began < 8
