@@ -46,13 +46,19 @@ class Pointer:
 
 
 class Snapshots:
-    """Several tables under one pointer, so that a commit shows all of its tables at once or none.
+    """Several tables under one pointer, so that a commit shows all of its changes at once or none.
 
-    Tables that a commit doesn't name keep their version. Versions that are no longer named are removed by ``vacuum``.
+    A table is a list of parts, which only grows by what a commit adds, and a list of keys that are gone; neither is ever
+    rewritten by a commit, so a small change of a large table costs little. Keys aren't used again, so a key that is gone
+    is gone from all parts. Once a table has more than ``MOST_PARTS`` of either, the next commit that touches it writes it
+    anew in one part. What no pointer names any more is removed by ``vacuum``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
-        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+    MOST_PARTS = 32
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, str]):
+        """``keys`` names the column by which rows of a table go."""
+        self.spark, self.root, self.schemas, self.keys = spark, root.rstrip("/"), schemas, keys
         self.pointer = Pointer(spark, f"{self.root}/CURRENT")
 
     def _now(self) -> dict:
@@ -63,30 +69,49 @@ class Snapshots:
 
     def read(self, name: str) -> DataFrame:
         """The table as committed; without rows if it never was."""
-        at = self._now()["tables"].get(name)
-        if at is None:
+        return self._read(name, self._now()["tables"].get(name, {"parts": [], "gone": []}))
+
+    def _read(self, name: str, lists: dict) -> DataFrame:
+        if not lists["parts"]:
             return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{at}")
+        rows = self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.root}/{p}" for p in lists["parts"]])
+        if not lists["gone"]:
+            return rows
+        gone = self.spark.read.schema(f"{self.keys[name]} long").parquet(*[f"{self.root}/{p}" for p in lists["gone"]])
+        return rows.join(gone, self.keys[name], "left_anti").select(*rows.columns)
 
     def next_id(self, name: str) -> int:
         """The first id that was never given out: ids aren't used again, also after deletions."""
         return self._now()["next_id"].get(name, 1)
 
-    def commit(self, tables: dict[str, DataFrame], next_ids: dict[str, int] | None = None) -> int:
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None, next_ids: dict[str, int] | None = None) -> int:
+        """Put tables in place of what there is, add rows to tables, and let keys go (one column each); all or nothing."""
         before = self._now()
         n = before["version"] + 1
-        written = {}
-        for name, df in tables.items():
-            written[name] = f"{name}/v={n}-{uuid.uuid4().hex[:12]}"
-            df.write.parquet(f"{self.root}/{written[name]}")
+        tables = {name: {k: list(v) for k, v in lists.items()} for name, lists in before["tables"].items()}
+
+        def write(df: DataFrame, name: str, kind: str) -> str:
+            at = f"{name}/{kind}-v{n}-{uuid.uuid4().hex[:12]}"
+            df.write.parquet(f"{self.root}/{at}")
+            return at
+
+        for name, df in (replace or {}).items():
+            tables[name] = {"parts": [write(df, name, "part")], "gone": []}
+        for kind, changes in (("gone", gone), ("parts", append)):
+            for name, df in (changes or {}).items():
+                lists = tables.setdefault(name, {"parts": [], "gone": []})
+                lists[kind].append(write(df, name, kind.removesuffix("s")))
+        for name in {*(append or {}), *(gone or {})}:
+            if max(map(len, tables[name].values())) > self.MOST_PARTS:
+                tables[name] = {"parts": [write(self._read(name, tables[name]), name, "part")], "gone": []}
         if self._now() != before:
             raise RuntimeError("another run committed meanwhile")
-        self.pointer.swap({"version": n, "tables": before["tables"] | written, "next_id": before["next_id"] | (next_ids or {})})
+        self.pointer.swap({"version": n, "tables": tables, "next_id": before["next_id"] | (next_ids or {})})
         return n
 
     def vacuum(self) -> None:
         """Remove what no pointer names; not while others still read an old version."""
-        kept = set(self._now()["tables"].values())
+        kept = {p for lists in self._now()["tables"].values() for own in lists.values() for p in own}
         fs = self.pointer._fs
         for name in self.schemas:
             at = self.pointer._at(f"{self.root}/{name}")

@@ -34,6 +34,7 @@ SCHEMAS = {
     "chunks": "chunk_id long, document_id long, collection string, chunk_index int, text_content string, total_chars int, line_start int, line_end int, section_num int, section_title string, slug string, metadata string",
     "vectors": "collection string, chunk_id long, embedding array<float>",
 }
+KEYS = {"files": "file_id", "documents": "document_id", "chunks": "document_id", "vectors": "chunk_id"}  # by which rows go
 log = logging.getLogger("corvine")
 
 
@@ -51,7 +52,7 @@ class Workspace:
         """``store`` may put the tables elsewhere, such as a distributed file system."""
         self.spark, self.root = spark, Path(root)
         self.home = self.root / MARKER
-        self.tables = Snapshots(spark, store or f"file://{self.home.resolve()}/tables", SCHEMAS)
+        self.tables = Snapshots(spark, store or f"file://{self.home.resolve()}/tables", SCHEMAS, KEYS)
 
     @classmethod
     def find(cls, spark: SparkSession, start: str | Path) -> Workspace:
@@ -124,17 +125,17 @@ class Workspace:
         numbered, next_chunk = allocated(pieces.join(new_documents.select("file_id", "document_id", "slug"), "file_id"), "chunk_id", self.tables.next_id("chunks"), ["file_path", "chunk_index"])
         new_chunks = numbered.withColumns({"collection": F.lit(name), "slug": chunk_slug(F.col("slug"), F.col("chunk_index")), "metadata": F.lit("{}")}).select(*chunks.columns)
 
-        kept_documents = documents.join(dropped, "document_id", "left_anti")
-        all_documents = kept_documents.select(*documents.columns).unionByName(new_documents)
-        all_files = sync.upserted(files, changed_files.unionByName(refreshed), "file_id").select(*files.columns)
-        # a file stays while any collection has a document of it
-        all_files = all_files.join(all_documents.select("file_id"), "file_id", "left_semi")
-        all_chunks = chunks.join(dropped.select("document_id"), "document_id", "left_anti").select(*chunks.columns).unionByName(new_chunks)
-        all_chunks = materialize(all_chunks, "chunks")
-        all_vectors = vectors.pruned(self.tables.read("vectors"), all_chunks).select("collection", "chunk_id", "embedding")
-        self.tables.commit(
-            {"files": all_files, "documents": all_documents, "chunks": all_chunks, "vectors": all_vectors}, {"files": next_file, "documents": next_document, "chunks": next_chunk}
-        )
+        dropped = materialize(dropped.select("document_id").distinct(), "dropped")
+        kept = documents.join(dropped, "document_id", "left_anti").select("file_id").unionByName(new_documents.select("file_id"))
+        # a file stays while any collection has a document of it; the table of files has one short row each and is written anew
+        all_files = sync.upserted(files, changed_files.unionByName(refreshed), "file_id").select(*files.columns).join(kept, "file_id", "left_semi")
+        changes = {"replace": {"files": all_files}}
+        if not fresh.isEmpty():
+            changes["append"] = {"documents": new_documents, "chunks": new_chunks}
+        if not dropped.isEmpty():
+            lost = chunks.join(dropped, "document_id", "left_semi").select("chunk_id")
+            changes["gone"] = {"documents": dropped, "chunks": dropped, "vectors": lost}
+        self.tables.commit(**changes, next_ids={"files": next_file, "documents": next_document, "chunks": next_chunk})
         log.info("synchronised %s: %s", name, result)
         return result
 
@@ -148,14 +149,16 @@ class Workspace:
         for name in names:
             self.config.collection(name)
         chunks, stored = self.tables.read("chunks"), self.tables.read("vectors")
-        if rebuild:
-            for name in names:
+        if rebuild or prune:
+            for name in names if rebuild else []:
                 stored = vectors.without_collection(stored, name)
-        if prune:
-            stored = vectors.pruned(stored, chunks)
+            stored = materialize(vectors.pruned(stored, chunks).select("collection", "chunk_id", "embedding") if prune else stored, "stored")
         wanted = catalog.pending(chunks.where(F.col("collection").isin(*names)), stored)
         new = materialize(wanted.select("collection", "chunk_id", embedded(F.col("text_content"), embedder).alias("embedding")), "vectors")
-        self.tables.commit({"vectors": vectors.upsert(stored, new).select("collection", "chunk_id", "embedding")})
+        if rebuild or prune:
+            self.tables.commit(replace={"vectors": vectors.upsert(stored, new).select("collection", "chunk_id", "embedding")})
+        else:
+            self.tables.commit(append={"vectors": new})
         return new.count()
 
     # -- queries

@@ -110,3 +110,27 @@ def test_pages(spark):
     assert [r[0] for r in catalog.page(rows, 2, 1).collect()] == ["f1", "f2"]
     assert catalog.page(rows, 0, 3).count() == 5 and catalog.page(rows, 2, 9).count() == 0
     assert catalog.banner(2, 1, 5) == "Showing 2-3 of 5" and catalog.banner(0, 3, 5) == "" and catalog.banner(9, 0, 5) == ""
+
+
+def test_snapshots_add_parts_and_let_keys_go(spark, tmp_path, monkeypatch):
+    from corvine.sources.snapshots import Snapshots
+
+    monkeypatch.setattr(Snapshots, "MOST_PARTS", 3)
+    rows = lambda *ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, t string")
+    keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    s = Snapshots(spark, f"file://{tmp_path}/s", {"a": "id long, t string", "b": "id long, t string"}, {"a": "id", "b": "id"})
+    ids = lambda name: sorted(r.id for r in s.read(name).collect())
+    assert ids("a") == [] and s.next_id("a") == 1
+    s.commit(append={"a": rows(1, 2), "b": rows(9)}, next_ids={"a": 3})
+    s.commit(append={"a": rows(3)}, gone={"a": keys(1)})
+    assert ids("a") == [2, 3] and ids("b") == [9] and s.next_id("a") == 3
+    for i in range(4, 9):
+        s.commit(append={"a": rows(i)}, gone={"a": keys(i - 1)})
+    assert ids("a") == [2, 8] and len(s._now()["tables"]["a"]["parts"]) <= 3
+    with monkeypatch.context() as m:
+        m.setattr(s.pointer, "swap", lambda value: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            s.commit(replace={"a": rows(77)}, gone={"b": keys(9)})
+    assert ids("a") == [2, 8] and ids("b") == [9]
+    s.vacuum()
+    assert ids("a") == [2, 8] and len(list((tmp_path / "s" / "a").iterdir())) <= 6
