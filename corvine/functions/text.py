@@ -26,14 +26,19 @@ def accent_maps() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents: translate() takes the letters, the marks that stand alone are removed."""
+    """Lower case without accents: translate() takes the letters, the marks that stand alone are removed; ASCII has neither."""
     source, target = accent_maps()
-    return F.regexp_replace(F.translate(F.lower(text), source, target), r"\p{Mn}", "")
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(low, source, target), r"\p{Mn}", "")).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
     """Maximal runs of letters and digits, folded; none for null."""
-    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 1)
+    return folded_tokens(fold(F.coalesce(text, F.lit(""))))
+
+
+def folded_tokens(folded: Column) -> Column:
+    return F.regexp_extract_all(folded, F.lit(TOKEN), 1)
 
 
 def slugify(collection: Column, path: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.functions.text import TOKEN, fold, tokens
+from corvine.functions.text import fold, folded_tokens, tokens
 from corvine.operators.query_grammar import Combined, Near, Phrase, parse, phrases
 
 # The ranking's parameters, and the weight of a phrase that most rows hold.
@@ -22,21 +22,21 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass
 class Index:
-    """Either ``tokens`` (chunk_id, tokens), read as asked, or stored ``postings`` (chunk_id, position, term, n_tokens) and ``lengths``.
+    """Either ``texts`` (chunk_id, text), read as asked, or stored ``postings`` (chunk_id, position, term, n_tokens) and ``lengths``.
 
     ``distinct`` says that no chunk_id has several rows. If some have, nothing is sorted out before the postings of the
     asked terms are gathered: repeated rows have the same positions, which are gathered as sets, so texts are never
-    shuffled. Of unequal texts under one id all positions would count.
+    shuffled. Unequal texts under one id would be ranked apart if their lengths differ, together if not.
     """
 
-    tokens: DataFrame | None
+    texts: DataFrame | None
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
     distinct: bool = False
 
     @classmethod
     def of(cls, chunks: DataFrame, key: str = "chunk_id", text: str = "text_content", distinct: bool = False) -> Index:
-        rows = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("tokens"))
+        rows = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         return cls(rows, distinct=distinct)
 
     @classmethod
@@ -52,12 +52,29 @@ class Index:
     def all_postings(self) -> DataFrame:
         if self.postings is not None:
             return self.postings
-        return self.tokens.select("chunk_id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term"))
+        rows = self.texts.select("chunk_id", tokens(F.col("text")).alias("tokens"))
+        return rows.select("chunk_id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term"))
+
+    def postings_of(self, wanted: list[tuple[str, bool]]) -> DataFrame:
+        """The postings of tokens and prefixes. Texts are only split where one of them occurs in the folded text at all."""
+        exact = [t for t, prefix in wanted if not prefix]
+        test = F.col("term").isin(*exact) if exact else F.lit(False)
+        for t, prefix in wanted:
+            if prefix:
+                test = test | F.col("term").startswith(t)
+        if self.postings is not None:
+            return self.postings.where(test)
+        rows = self.texts.select("chunk_id", fold(F.col("text")).alias("folded"))
+        some = F.lit(False)
+        for t in sorted({t for t, _ in wanted}):
+            some = some | F.contains(F.col("folded"), F.lit(t))
+        rows = rows.where(some).select("chunk_id", folded_tokens(F.col("folded")).alias("tokens"))
+        return rows.select("chunk_id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term")).where(test)
 
     def all_lengths(self) -> DataFrame:
         if self.lengths is not None:
             return self.lengths
-        sizes = self.tokens.select("chunk_id", F.size("tokens").alias("n_tokens"))
+        sizes = self.texts.select("chunk_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
         return sizes if self.distinct else sizes.groupBy("chunk_id").agg(F.max("n_tokens").alias("n_tokens"))
 
     def gathered(self, position: Column) -> Column:
@@ -129,16 +146,10 @@ def match(index: Index, query: str) -> DataFrame:
     tree = parse(query)
     wanted = phrases(tree)
     slots = _slots(wanted)
-    postings = index.all_postings()
     if not slots:
-        return postings.where(F.lit(False)).select("chunk_id", F.lit(0.0).alias("rank"))
-    exact = [t for t, prefix in slots if not prefix]
-    any_term = F.col("term").isin(*exact) if exact else F.lit(False)
-    for t, prefix in slots:
-        if prefix:
-            any_term = any_term | F.col("term").startswith(t)
-    gathered = postings.where(any_term).groupBy("chunk_id").agg(
-        F.max("n_tokens").alias("_len"), *[index.gathered(F.when(_token_test(F.col("term"), t, prefix), F.col("position"))).alias(name) for (t, prefix), name in slots.items()]
+        return index.all_lengths().where(F.lit(False)).select("chunk_id", F.lit(0.0).alias("rank"))
+    gathered = index.postings_of(list(slots)).groupBy("chunk_id", F.col("n_tokens").alias("_len")).agg(
+        *[index.gathered(F.when(_token_test(F.col("term"), t, prefix), F.col("position"))).alias(name) for (t, prefix), name in slots.items()]
     )
     # frequency of each phrase, by itself and as far as a NEAR group lets it count
     found: list[Column] = []
