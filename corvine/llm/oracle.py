@@ -7,6 +7,11 @@ WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": """
+            WITH c AS (SELECT DISTINCT id, text_content AS t FROM chunks WHERE id IS NOT NULL AND length(text_content) >= 200),
+            w AS (SELECT id, substr(t, i, 200) AS s FROM c, unnest(range(1, length(t) - 198)) AS u(i)),
+            m AS (SELECT s FROM w GROUP BY s HAVING min(id) <> max(id))
+            SELECT DISTINCT id AS chunk_id FROM w JOIN m USING (s)""",
         "p3_found": """
             WITH latest AS (SELECT id, max(struct_pack(f := coalesce(finished_at, TIMESTAMP '0001-01-01'), v := vector)).v AS v FROM embedresult GROUP BY id),
             fine AS (SELECT id, v::DOUBLE[] AS v FROM latest WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
