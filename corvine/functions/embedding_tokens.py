@@ -6,7 +6,7 @@ import json
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +17,22 @@ _SPACE = re.compile(r"[\s\x85\xa0]+")
 TENSORS = "struct<input_ids: array<bigint>, attention_mask: array<bigint>, token_type_ids: array<bigint>>"
 
 
+class _Table(dict):
+    """A table for ``str.translate`` that is filled as characters come up."""
+
+    def __init__(self, rule: Callable[[str], str | None]):
+        self.rule = rule
+
+    def __missing__(self, code: int) -> str | None:
+        out = self[code] = self.rule(chr(code))
+        return out
+
+
+_PLAIN = _Table(lambda c: None if unicodedata.category(c) == "Mn" or (c < " " and c not in "\t\n\r") else c)
+_APART = _Table(lambda c: f" {c} " if unicodedata.category(c)[0] == "P" else c)
+KNOWN_WORDS = 200_000  # words a tokenizer remembers
+
+
 class WordPiece:
     """Greedy longest pieces of words; a word that can't be pieced together is unknown as a whole."""
 
@@ -25,17 +41,16 @@ class WordPiece:
         self.join = model.get("continuing_subword_prefix", "##")
         self.unknown = self.vocab.get("[UNK]", 0)
         self.first, self.last, self.pad = (self.vocab.get(t, 0) for t in ("[CLS]", "[SEP]", "[PAD]"))
+        self._known: dict[str, list[int]] = {}
 
     @staticmethod
     def normalize(text: str) -> str:
-        plain = (c for c in unicodedata.normalize("NFKD", text.lower()) if unicodedata.category(c) != "Mn")
-        return "".join(c for c in plain if c >= " " or c in "\t\n\r")
+        return unicodedata.normalize("NFKD", text.lower()).translate(_PLAIN)
 
     @staticmethod
     def words(text: str) -> list[str]:
         """Split at white space; every punctuation mark is a word of its own, symbols such as ``$`` are not."""
-        spaced = "".join(f" {c} " if unicodedata.category(c)[0] == "P" else c for c in text)
-        return [w for w in _SPACE.split(spaced) if w]
+        return [w for w in _SPACE.split(text.translate(_APART)) if w]
 
     def pieces(self, word: str) -> list[int]:
         if len(word) > LONGEST_WORD:
@@ -51,7 +66,16 @@ class WordPiece:
         return out
 
     def ids(self, text: str) -> list[int]:
-        return [i for w in self.words(self.normalize(text)) for i in self.pieces(w)]
+        known = self._known
+        out: list[int] = []
+        for w in self.words(self.normalize(text)):
+            got = known.get(w)
+            if got is None:
+                got = self.pieces(w)
+                if len(known) < KNOWN_WORDS:
+                    known[w] = got
+            out += got
+        return out
 
 
 class Unigram:
