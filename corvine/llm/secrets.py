@@ -2,9 +2,11 @@
 
 Literals near an assignment, header, URL, flag or comment that speaks of a credential are segmented into dictionary words by
 Viterbi search; what no word explains is the residual, and a literal with a long residual is a secret. The dictionary is
-counted over all texts. Hashes, commit ids and the like stand under names that don't speak of credentials and are left
-alone; public keys, references, paths and placeholders are excluded by form. A private key block, a credential in a URL and
-a few unmistakable token forms are secrets wherever they stand.
+counted over all distinct texts, each word once in each, without the literals that are judged by it and without runs beside
+digits: however often a secret is repeated, it doesn't become a word that explains itself. Hashes, commit ids and the like
+stand under names that don't speak of credentials and are left alone; public keys, references, paths and placeholders are
+excluded by form. A private key block, a credential in a URL and a few unmistakable token forms are secrets wherever they
+stand.
 
 Null and empty texts hold none; rows of the same id and text are one record. Lines are split at ``\\n`` and count from 1; a
 value over several lines is one finding, at its first line.
@@ -60,6 +62,7 @@ _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"^(?P<lead>[^A-Za-z0-9+/]*)(?P<value>[A-Za-z0-9+/]{8,}={0,2})(?P<tail>\W*)$")
 _TRIGGER = re.compile(r"(?i)pass|pwd|secret|token|key|auth|bearer|basic|cred|hook|sig|akia|asia|eyj|gh[pousr]_|xox|://|-u |--user|private")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_LETTERS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])")
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _BLOCK = re.compile(r"(?<![\w.])(?P<name>[A-Za-z_][\w.\-]{0,120})[\"']?\s{0,40}(?::=|=|:)\s{0,40}(?:[|>][+\-]?|\"\"\"|'''|`|\\|\(|)\s*$")
 
@@ -170,6 +173,9 @@ def _is_basic(value: str) -> bool:
     return bool(user and password)
 
 
+NO_WORDS = Segmenter({})  # explains nothing, so that every literal that any dictionary could leave unexplained is found
+
+
 def find(text: str | None, words: Segmenter) -> dict[int, list[tuple[int, int, int]]]:
     """Findings by line (from 1): spans as (line, begin, end); a finding over several lines has several spans."""
     if not text or not _TRIGGER.search(text):
@@ -205,7 +211,7 @@ def find(text: str | None, words: Segmenter) -> dict[int, list[tuple[int, int, i
             continue
         for span in secret_spans(line, words):
             found.setdefault(n, []).append((n, *span))
-        if n not in found and (m := _BLOCK.search(line)) and (kind := _name_kind(m["name"], line, m.start())):
+        if (n not in found or words is NO_WORDS) and (m := _BLOCK.search(line)) and (kind := _name_kind(m["name"], line, m.start())):
             pending = (kind, 0)
     if not found and (ends := [n for n, line in enumerate(lines, 1) if _PEM_END.search(line)]):
         body = [(n, *m.span("value")) for n in range(1, ends[0]) if (m := _PEM_BODY.match(lines[n - 1]))]
@@ -243,21 +249,40 @@ def redact(text: str | None, words: Segmenter) -> str | None:
     return "\n".join(lines)
 
 
+def _unjudged(text: str) -> str:
+    """The text without the literals in credential contexts, whose letters say nothing about what is a word."""
+    found = find(text, NO_WORDS)
+    if not found:
+        return text
+    lines, by_line, values = text.split("\n"), {}, set()
+    for n, a, b in {span for spans in found.values() for span in spans}:
+        by_line.setdefault(n, []).append((a, b))
+        values.add(_literal(lines[n - 1][a:b])[0])
+    for n, spans in by_line.items():
+        for a, b in spans:
+            lines[n - 1] = lines[n - 1][:a] + " " * (b - a) + lines[n - 1][b:]
+    text = "\n".join(lines)
+    for value in sorted(values, key=lambda v: (-len(v), v)):  # also where it stands outside such a context, unless it looks like a word
+        if len(value) >= 6 and re.search(r"[^A-Za-z]|[a-z][A-Z]|[A-Z]{2}", value):
+            text = text.replace(value, " ")
+    return text
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            seen.update(_WORDS.findall(text))
-    low: Counter[str] = Counter()
-    for w, n in seen.items():
-        if 3 <= len(w) <= 24:
-            low[w.lower()] += n
-    yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.string()), pa.array(list(low.values()), pa.int64())], names=["word", "n"])
+            runs = _WORDS.findall(" ".join(set(_LETTERS.findall(_unjudged(text)))))
+            seen.update({w.lower() for w in runs if 3 <= len(w) <= 24})
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
 def dictionary(texts: DataFrame, column: str, most: int = DICTIONARY_WORDS) -> dict[str, int]:
-    """The most frequent words of all texts, of those that stand at least ``LEAST_COUNT`` times in them."""
-    counts = texts.where(F.col(column).isNotNull()).select(column).mapInArrow(_count, "word string, n long")
+    """The most frequent words of all distinct texts, of those that stand in at least ``LEAST_COUNT`` of them.
+
+    A word counts once in a text, and not where it stands in a literal that ``find`` judges or beside a digit.
+    """
+    counts = texts.where(F.col(column).isNotNull()).select(column).distinct().mapInArrow(_count, "word string, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most)
     return {w: n for w, n in top.toLocalIterator()}
 

@@ -109,6 +109,18 @@ def test_credentials_table(spark):
     assert got == [(1, 2)] and secrets.credentials(df.limit(0), "body", "id").count() == 0
 
 
+def test_repeated_secrets_are_no_words(spark):
+    lines = ["password = 'ZDKME!EJxgGGZ0'", 'dsn = "amqp://svc:9PuxlcfqLMO5@host.internal.example/"', '// run: ctl login --token "rMVLVY9GSAFO2SHUC"', 'hook = "https://hooks.a.example/services/TvfGevMIQ/B5wiE0uhm/R0r2kJrqbeNWh0J5"', "client_secret: |\n  KxvQwzPmtRbnLsdf\n"]
+    text = "\n".join(lines) + "\nthe planner says that the broker is there, not 9PuxlcfqLMO5"
+    rows = [(i, text) for i in range(12)] + [(i, text + f"\nedited {'abcdefghijkl'[i % 12]}") for i in range(12, 24)] + [(i, f"the planner and the broker wait {i}") for i in range(30, 40)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    assert set(secrets.dictionary(df, "body")) >= {"planner", "broker", "the"} and not {"zdkme", "jxg", "puxlcfq", "rmvlvy"} & set(secrets.dictionary(df, "body"))
+    got = {(r.id, r.line_no) for r in secrets.credentials(df, "body", "id").collect()}
+    assert got == {(i, n) for i in range(24) for n in (1, 2, 3, 4, 6)}
+    copies = spark.createDataFrame([(i, "ordinary words here") for i in range(9)], "id long, body string")
+    assert secrets.dictionary(copies, "body") == {}  # one text, however often it is copied
+
+
 def test_segmentation():
     assert WORDS.residual("planner-Broker") == 0 and WORDS.residual("rankingProbe") == 0 and WORDS.residual("x9Kq") == 4
 
