@@ -54,6 +54,7 @@ VENDORED_HEAD = re.compile(
     re.I,
 )
 _COMMENT = re.compile(r"\s*(?:(?P<block>/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|'''.*?''')|(?P<line>(?:#|//|--|;|%)[^\n]*))", re.S)
+_REMARK = re.compile(r"^[ \t]*(?://|(?:#|--|;|%)[ \t])[^\n]*$|(?<=[;})])[ \t]*//[ \t][^\n]*$", re.M)
 _LEAD = re.compile(r"^[\s#/*;%!<\-\"']+|[\s*/>\-\"']+$")
 _DATA = re.compile(r"[\"'][A-Za-z0-9+/=_\-\\]{24,}[\"']|(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w.])")
 
@@ -86,16 +87,35 @@ def path_kind(path: str) -> str:
     return "vendored" if VENDORED_DIR.search(path) else ""  # a package has a folder of its own there
 
 
+def _code(body: str) -> str:
+    """The body without its comments: blocks, lines that are comments as a whole, and what follows a statement's end."""
+    parts, at = [], 0
+    for begin, end in (("/*", "*/"), ("<!--", "-->")):
+        while (i := body.find(begin, at)) >= 0 and (j := body.find(end, i + len(begin))) >= 0:
+            parts.append(body[at:i])
+            at = j + len(end)
+        body, parts, at = "".join(parts) + body[at:], [], 0
+    return _REMARK.sub("", body)
+
+
+def _is_dense(line: str) -> bool:
+    return line.count(" ") <= 0.12 * len(line) and len(re.findall(r"[(){};=,&|?:\[\]]", line)) >= 0.12 * len(line)
+
+
+def _is_minified(code: str) -> bool:
+    """Lines of dense code make up nearly all of it, a long one among them."""
+    code = code.strip()
+    long = [line for line in code.splitlines() if len(line) >= 200 and _is_dense(line)]
+    return len(code) >= 300 and max(map(len, long), default=0) >= 500 and sum(map(len, long)) >= 0.8 * len(code) and _blob_share(code) < 0.7
+
+
 def body_kind(body: str) -> str:
-    """``minified``: one long line of dense code; ``blob``: literals of data make up nearly all of it."""
+    """``minified``: long lines of dense code, comments aside; ``blob``: literals of data make up nearly all of it."""
     dense = body.strip()
     if len(dense) < 300:
         return ""
-    longest = max(dense.splitlines(), key=len)
-    if len(longest) >= 500 and len(longest) >= 0.8 * len(dense):
-        spaces, marks = longest.count(" "), len(re.findall(r"[(){};=,&|?:\[\]]", longest))
-        if spaces <= 0.12 * len(longest) and marks >= 0.12 * len(longest) and _blob_share(dense) < 0.7:
-            return "minified"
+    if max(map(len, dense.splitlines())) >= 500 and (_is_minified(dense) or _is_minified(_code(dense))):
+        return "minified"
     return "blob" if _blob_share(dense) >= 0.7 else ""
 
 

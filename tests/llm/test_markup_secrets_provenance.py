@@ -141,6 +141,19 @@ def test_rules(path, text, want):
     assert provenance.kind(path, text) == want
 
 
+DENSE = "!function(){" + "for(a=0;a<9;a++)b.push(c^1);" * 40 + "}();"
+REMARK = "the renderer keeps a compact snippet and retries nightly, so that trackers stay bounded. " * 7
+MINIFIED = [
+    (f"{DENSE}\n// {REMARK}", "minified"), (f"{DENSE}\n/* {REMARK}\n{REMARK} */\n", "minified"), (f"{DENSE} // {REMARK}", "minified"), (f"{DENSE}\n{DENSE[:700]}", "minified"), (f"{DENSE}\n{DENSE}\n// {REMARK}\n{DENSE[:300]}", "minified"),
+    (f'{DENSE[:-5]};a="src/*.js",b="lib/*/c"' + "}();" + f"\n// {REMARK}", "minified"), (CODE + f"\n// {REMARK}\n" * 3, ""), (CODE * 6 + DENSE + f"\n// {REMARK}", ""), ("const a = 1;\n" + f"/* {DENSE} */\n" + "const b = compute(a, a);\n" * 40, ""),
+]
+
+
+@pytest.mark.parametrize("body, want", MINIFIED)
+def test_minified_bodies_with_comments_or_several_lines(body, want):
+    assert provenance.body_kind(body) == want
+
+
 def test_files_without_text_sizes_and_lost_documents(spark):
     schema = "id long, file_path string, filename string, size long, modified_at long, content_hash string"
     path = lambda i: f"src/pkg{i % 7}/m{i}.py"
