@@ -60,7 +60,10 @@ _FORMS = re.compile(r"\b(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|eyJ[\w\-]{10,}\.[\w\
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"^(?P<lead>[^A-Za-z0-9+/]*)(?P<value>[A-Za-z0-9+/]{8,}={0,2})(?P<tail>\W*)$")
-_TRIGGER = re.compile(r"(?i)pass|pwd|secret|token|key|auth|bearer|basic|cred|hook|sig|akia|asia|eyj|gh[pousr]_|xox|://|-u |--user|private")
+# What a text and a line must hold to be read at all: a name that counts as a credential's, which may stand in two parts
+# (``pass_code``), or what another rule begins with.
+_NAMES = sorted(n for n in PASSWORDS | KEYS if not any(m != n and m in n for m in PASSWORDS | KEYS))
+_TRIGGER = re.compile("(?i)" + "|".join([r"(?:[^\W0-9A-Za-z]|[.\-])*".join(n) for n in _NAMES]) + r"|bearer|basic|hook|akia|asia|eyj|gh[pousr]_|xox|://|-u[ =]|--user|private")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LETTERS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])")
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -145,8 +148,8 @@ def secret_spans(line: str, words: Segmenter) -> list[tuple[int, int]]:
             value, quoted = _literal(v["value"])
             if quoted:
                 at = v.end()
-            elif line[v.end() : v.end() + 1] in ("(", "[") or re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+", value) or re.fullmatch(r"[\d.]+", value):
-                continue  # a call, an attribute, a number
+            elif line[v.end() : v.end() + 1] in ("(", "[") or re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+(?:\?[\w.]+:[\w.]+)?", value) or re.fullmatch(r"[\d.]+", value):
+                continue  # a call, an attribute, a choice by one, a number
             if " " in value or plain(value) or not long_enough(value, kind):
                 continue
             spans.append(v.span("value"))

@@ -109,6 +109,20 @@ def test_credentials_table(spark):
     assert got == [(1, 2)] and secrets.credentials(df.limit(0), "body", "id").count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(secrets.PASSWORDS | secrets.KEYS) + ["db_pw", "dbPw", "DB_PW", "p_w", "blob-sas", "sasToken", "pass-code"])
+def test_every_credential_name_is_read(name):
+    for line in (f'{name} = "9NuaL*F2oOjAJEV"', f"x --{name} 9NuaL*F2oOjAJEV"):
+        assert list(secrets.find("first\n" + line, WORDS)) == [2] and secrets.MASK in secrets.redact(line, WORDS)
+
+
+def test_short_names_in_minified_code_are_none():
+    assert secrets.find("!function(){fx15&&(pw=z.formatter?13:f37);var y=o[325]||od;c84&&(pw=g57.pool?6:h);}();", WORDS) == {}
+
+
+def test_flags_with_equals_signs_are_read():
+    assert list(secrets.find("curl -u=admin:px5YypSjsX7RV x", WORDS)) == [1]
+
+
 def test_repeated_secrets_are_no_words(spark):
     lines = ["password = 'ZDKME!EJxgGGZ0'", 'dsn = "amqp://svc:9PuxlcfqLMO5@host.internal.example/"', '// run: ctl login --token "rMVLVY9GSAFO2SHUC"', 'hook = "https://hooks.a.example/services/TvfGevMIQ/B5wiE0uhm/R0r2kJrqbeNWh0J5"', "client_secret: |\n  KxvQwzPmtRbnLsdf\n"]
     text = "\n".join(lines) + "\nthe planner says that the broker is there, not 9PuxlcfqLMO5"
