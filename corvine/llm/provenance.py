@@ -1,11 +1,16 @@
 """Source files that nobody wrote by hand: generated, minified, third-party, and data saved as code.
 
-Each file is seen in three views: its path (components and character n-grams of the name), its opening comments, and the
-rest of its text, in which the opening comments are masked so that their giveaway words can't stand in for what the body
-shows. A view's hashed character n-grams feed one linear support-vector classifier. The classifiers are fitted to a bounded
-sample (``TRAIN_ROWS``) whose labels come from the rules of this module, and split by repository: every fifth repository
-stays out of the fit and sets the threshold, low enough that no labelled case of the split is lost. A file is a candidate
-if any view passes its threshold; the rules then check candidates exactly. A size beyond ``BLOB_BYTES`` needs no text.
+Each file is seen in three views: its path (folders, the marks its name ends in, character n-grams of the name), its opening
+comments (beginnings of lines and their n-grams), and the rest of its text, in which the opening comments are masked so that
+their giveaway words can't stand in for what the body shows (n-grams, and how much of it is dense lines or literals of data).
+A linear support-vector classifier per view and kind (``CLASSES``) decides whether a file is a case: a score over 0 says so.
+What lies within the margin above that (a score under ``SURE``) is a close call, and so is what scores less by no more than
+``SLACK``; the rule of the class is asked about these only. All other files are decided by the classifiers alone.
+
+The classifiers are fitted to a bounded sample (``TRAIN_ROWS``), chosen by a hash of the path, whose labels come from the
+rules of this module. Validation is split by repository (by folder where a file names none): every fifth one stays out of the
+fit, and the lowest case in those moves the line below which no question is asked. Features are hashed into ``2**BITS`` places. A size beyond ``BLOB_BYTES``
+makes a file a case by itself.
 
 Null paths and ids are no files; a null size says nothing. Of several rows of an id the newest counts. Files without text
 are judged by path and size. Texts of several documents of a file are all looked at.
@@ -25,14 +30,16 @@ from pyspark.sql import functions as F
 from corvine.llm.words import mix
 from corvine.session import materialize, prepare
 
-BITS = 16
+BITS = 18
 BLOB_BYTES = 1_000_000
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 8_000
 VALIDATE_EVERY = 5
-EPOCHS = 12
-MARGIN = 3.0  # how far below the lowest case of the sample a candidate may score; the exact rules follow
-DECAY = 1e-6
-SCALE = 30.0  # of a view's shares, so that a typical view has about unit length
+EPOCHS = 15
+COST = 1.0
+SURE = 1.0  # a case scoring as much lies outside of the margin
+SLACK = 0.25  # how far below the line a file is still asked about
+CLASSES = ((0, "generated"), (0, "minified"), (0, "vendored"), (1, "generated"), (1, "vendored"), (2, "minified"), (2, "blob"))
+VIEWS = ("path", "opening", "body")
 
 # File types that are source or configuration, and prose and assets that are not.
 SOURCE = """py pyi pyw js jsx mjs cjs ts tsx go java kt kts scala sc rb rs c cc cpp cxx h hh hpp hxx cs php phtml swift lua ml mli ex exs
@@ -56,6 +63,7 @@ VENDORED_HEAD = re.compile(
 _COMMENT = re.compile(r"\s*(?:(?P<block>/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|'''.*?''')|(?P<line>(?:#|//|--|;|%)[^\n]*))", re.S)
 _REMARK = re.compile(r"^[ \t]*(?://|(?:#|--|;|%)[ \t])[^\n]*$|(?<=[;})])[ \t]*//[ \t][^\n]*$", re.M)
 _LEAD = re.compile(r"^[\s#/*;%!<\-\"']+|[\s*/>\-\"']+$")
+_HEX = re.compile(r"(?<![a-z0-9])(?=[a-f]*\d)[0-9a-f]{6,}(?![a-z0-9])")
 _DATA = re.compile(r"[\"'][A-Za-z0-9+/=_\-\\]{24,}[\"']|(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w.])")
 
 
@@ -102,10 +110,18 @@ def _is_dense(line: str) -> bool:
     return line.count(" ") <= 0.12 * len(line) and len(re.findall(r"[(){};=,&|?:\[\]]", line)) >= 0.12 * len(line)
 
 
+def _dense_lines(code: str) -> list[str]:
+    return [line for line in code.splitlines() if len(line) >= 200 and _is_dense(line)]
+
+
+def _dense_share(code: str) -> float:
+    return sum(map(len, _dense_lines(code))) / max(1, len(code))
+
+
 def _is_minified(code: str) -> bool:
     """Lines of dense code make up nearly all of it, a long one among them."""
     code = code.strip()
-    long = [line for line in code.splitlines() if len(line) >= 200 and _is_dense(line)]
+    long = _dense_lines(code)
     return len(code) >= 300 and max(map(len, long), default=0) >= 500 and sum(map(len, long)) >= 0.8 * len(code) and _blob_share(code) < 0.7
 
 
@@ -125,19 +141,21 @@ def _blob_share(body: str) -> float:
     return data / (data + len(rest)) if data >= 200 else 0.0
 
 
-def kind(path: str, text: str | None) -> str:
-    """Why a file isn't hand-written by its path and text; empty if nothing says so."""
-    if found := path_kind(path):
-        return found
+def rules(path: str, text: str | None) -> tuple[str, str, str]:
+    """What the rules say of the path, the opening comments and the body: a kind, or nothing."""
     if not text or not text.strip():
-        return ""
-    head, body = opening(text.lstrip("﻿"))
-    return head_kind(head) or body_kind(body)
+        return path_kind(path), "", ""
+    head, body = opening(text.lstrip("\ufeff"))
+    return path_kind(path), head_kind(head), body_kind(body)
+
+
+def _places(features: list[str]) -> np.ndarray:
+    return np.unique(np.array([zlib.crc32(f.encode("utf-8", "surrogatepass")) >> (32 - BITS) for f in features], dtype=np.int32))
 
 
 def grams(text: str, sizes: tuple[int, ...]) -> np.ndarray:
-    """Hashed character n-grams of a text, as feature numbers; digits count as one character."""
-    codes = np.frombuffer(re.sub(r"\d", "0", text).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    """Hashed character n-grams of a text, as places of features."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     out = []
     for n in sizes:
         if len(codes) >= n:
@@ -148,51 +166,80 @@ def grams(text: str, sizes: tuple[int, ...]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
 
 
-def views(path: str, text: str | None) -> list[np.ndarray]:
-    """Feature numbers of the path, of the opening comments, and of the body."""
-    *folders, name = path.split("/")
-    parts = np.array([zlib.crc32(f"dir:{f}:{i + 1 < len(folders)}".encode()) >> (32 - BITS) for i, f in enumerate(folders)], dtype=np.int32)
-    # the marks a name ends in are looked at apart from the words before them
-    tail = re.search(r"(?:[._-][A-Za-z0-9]+){0,3}$", name)[0]
-    path_view = np.concatenate([np.repeat(parts, 24), grams("^" + name + "$", (3, 4)), np.repeat(grams(tail + "$", (4, 5)), 12)])
-    if not text:
-        return [path_view, np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)]
-    head, body = opening(text.lstrip("﻿"))
-    starts = "\n".join("^" + _LEAD.sub("", line)[:24] for line in head.splitlines())
-    shape = [f"long:{min(12, max(map(len, body.splitlines()), default=0) // 250)}", f"data:{int(10 * _blob_share(body))}"]
-    marks = np.repeat(np.array([zlib.crc32(s.encode()) >> (32 - BITS) for s in shape], dtype=np.int32), max(1, len(body) // 4))
-    return [path_view, grams(starts.lower(), (4, 6)), np.concatenate([grams(body, (3, 4)), marks])]
+def _view(marks: list[str], weight: float, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values: marks weigh ``weight`` each, n-grams have unit length together."""
+    own = _places(marks)
+    places, counts = np.unique(found, return_counts=True)
+    values = counts / max(1.0, float(np.sqrt((counts * counts).sum())))
+    return np.concatenate([own, places]), np.concatenate([np.full(len(own), weight), values])
+
+
+def path_view(path: str) -> tuple[np.ndarray, np.ndarray]:
+    *folders, name = path.lower().split("/")
+    name = re.sub(r"\d+", "0", _HEX.sub("#", name))
+    parts = re.findall(r"[._-]+[^._-]*|^[^._-]+", name) or [name]
+    ends = ["tail:" + "".join(parts[-k:]) for k in (1, 2, 3) if k <= len(parts)]
+    marks = ["dir:" + f + "/" * (i + 1 < len(folders)) for i, f in enumerate(folders)] + ends + ["first:" + parts[0]]
+    return _view(marks, 1.0, grams("^" + name[-24:] + "$", (3, 4, 5)))
+
+
+def _starts(head: str) -> list[str]:
+    lines = (line[line.lower().index("<auto") :] if "<auto" in line.lower() else _LEAD.sub("", line) for line in head.splitlines())
+    return ["^" + line[:40].lower() for line in lines if len(line) > 2]
+
+
+def opening_view(head: str) -> tuple[np.ndarray, np.ndarray]:
+    starts = _starts(head)
+    found = [grams(s, (4, 6)) for s in starts]
+    return _view([f"begin{k}:{s[:k]}" for s in starts for k in (6, 9, 12, 16, 20, 25, 32)], 1.0, np.concatenate(found) if found else np.zeros(0, dtype=np.int32))
+
 
+def body_view(body: str) -> tuple[np.ndarray, np.ndarray]:
+    body = body.strip()
+    longest = max(map(len, body.splitlines()), default=0)
+    dense = max(_dense_share(body), _dense_share(_code(body).strip())) if longest >= 200 else 0.0
+    data = _blob_share(body)
+    marks = [f"long:{k}" for k in range(1, 13) if longest >= 100 * k] + [f"size:{k}" for k in range(1, 8) if len(body) >= 100 * k]
+    marks += [f"dense:{k}" for k in range(1, 21) if dense >= k / 20] + [f"data:{k}" for k in range(1, 21) if data >= k / 20]
+    return _view(marks, 0.7, grams(re.sub(r"\d", "0", body), (3,)))
 
-def _scores(weights: np.ndarray, seen: list[np.ndarray]) -> list[float]:
-    """Per view, the classifier's score: features weigh by their share of the view."""
-    return [float(w[x].mean() * SCALE + w[-1]) if len(x) else -np.inf for w, x in zip(weights, seen)]
 
+def views(path: str, text: str | None) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Features of the path, of the opening comments, and of the body; None where there is nothing to see."""
+    if not text or not text.strip():
+        return [path_view(path), None, None]
+    head, body = opening(text.lstrip("\ufeff"))
+    return [path_view(path), opening_view(head) if head.strip() else None, body_view(body) if body.strip() else None]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 3) -> np.ndarray:
-    """A linear support-vector classifier (hinge loss, stochastic subgradient) of sparse rows (features, shares, label).
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 3) -> np.ndarray:
+    """A linear support-vector classifier (squared hinge loss, dual coordinate descent) of sparse rows; the last weight is the bias.
 
-    The weights are the average over the second half of the epochs; classes weigh alike.
+    Cases cost more than others, by the root of how much rarer they are.
     """
     rng = np.random.default_rng(seed)
-    w, total = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    positive = max(1, sum(r[2] for r in rows))
-    weight = {1: len(rows) / (2 * positive), 0: len(rows) / (2 * max(1, len(rows) - positive))}
-    scale, t = 1.0, 0
-    for epoch in range(EPOCHS):
+    w, alpha = np.zeros((1 << BITS) + 1), np.zeros(len(rows))
+    rare = min(20.0, max(1.0, float((~labels).sum()) / max(1, int(labels.sum())))) ** 0.5
+    norms = [float(v @ v) + 1 for _, v in rows]
+    signs, half = np.where(labels, 1.0, -1.0), np.where(labels, 0.5 / (COST * rare), 0.5 / COST)
+    for _ in range(EPOCHS):
+        moved = False
         for i in rng.permutation(len(rows)):
-            x, share, label = rows[i]
-            t += 1
-            rate, y = 1.0 / (1 + 5e-4 * t), 1 if label else -1
-            scale *= 1 - DECAY * rate
-            if y * scale * ((w[x] @ share) * SCALE + w[-1]) < 1:
-                step = rate * y * weight[label] / scale / max(1.0, (share @ share) * SCALE**2)
-                w[x] += step * share * SCALE
-                w[-1] += 0.1 * step
-        if epoch >= EPOCHS // 2:
-            total += w * scale
-    return (total / max(1, EPOCHS - EPOCHS // 2)).astype(np.float32)
+            x, v = rows[i]
+            slope = signs[i] * (w[x] @ v + w[-1]) - 1 + alpha[i] * half[i]
+            if abs(min(slope, 0.0) if alpha[i] == 0 else slope) > 1e-3:
+                step = max(alpha[i] - slope / (norms[i] + half[i]), 0.0) - alpha[i]
+                alpha[i] += step
+                w[x] += step * signs[i] * v
+                w[-1] += step * signs[i]
+                moved = True
+        if not moved:
+            break
+    return w.astype(np.float32)
+
+
+def _score(w: np.ndarray, seen: tuple[np.ndarray, np.ndarray] | None) -> float:
+    return float(w[seen[0]] @ seen[1] + w[-1]) if seen is not None and len(seen[0]) else -np.inf
 
 
 def _labelled(every: int):
@@ -202,44 +249,64 @@ def _labelled(every: int):
         for batch in batches:
             out: list[tuple] = []
             for path, text, repository in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if zlib.crc32(path.encode()) % every:
+                if zlib.crc32(path.encode("utf-8", "surrogatepass")) % every:
                     continue
-                head, body = opening((text or "").lstrip("﻿"))
-                labels = (bool(path_kind(path)), bool(head_kind(head)), bool(body_kind(body)))
-                held_out = zlib.crc32((repository or "").encode()) % VALIDATE_EVERY == 0
-                for v, (x, label) in enumerate(zip(views(path, text), labels)):
-                    if len(x):
-                        features, counts = np.unique(x, return_counts=True)
-                        out.append((v, label, held_out, features.astype("<i4").tobytes(), (counts / len(x)).astype("<f4").tobytes()))
+                home = repository or path.rpartition("/")[0]
+                held_out = zlib.crc32(home.encode("utf-8", "surrogatepass")) % VALIDATE_EVERY == 0
+                for v, (seen, label) in enumerate(zip(views(path, text), rules(path, text))):
+                    if seen is not None and len(seen[0]):
+                        out.append((v, label, held_out, seen[0].astype("<i4").tobytes(), seen[1].astype("<f4").tobytes()))
             columns = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["view", "label", "held_out", "features", "shares"])
+            kinds = [pa.int32(), pa.string(), pa.bool_(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["view", "label", "held_out", "places", "shares"])
 
-    return run, "view int, label boolean, held_out boolean, features binary, shares binary"
+    return run, "view int, label string, held_out boolean, places binary, shares binary"
 
 
 def train(files: DataFrame, count: int, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, list[float], dict]:
-    """Weights and thresholds of the three views, fitted to about ``rows`` files (path, text, repository); and a report."""
+    """Per class, weights and the score below which nothing is asked, fitted to about ``rows`` files (path, text, repository); and a report.
+
+    The report has, of each class, the rows and cases of the fit and of the held-out repositories, and precision and recall
+    on the latter by the sign of the score alone.
+    """
     every = max(1, round(count / rows))
     sample = files.select("path", "text", "repository").mapInArrow(*_labelled(every)).limit(6 * rows).toArrow()
     # in an order of its own, so that the fit doesn't depend on how the rows were split into tasks
-    sample = sample.sort_by([("view", "ascending"), ("features", "ascending"), ("shares", "ascending"), ("label", "ascending"), ("held_out", "ascending")])
-    weights, thresholds, report = [], [], {}
+    sample = sample.sort_by([(c, "ascending") for c in ("view", "places", "shares", "label", "held_out")])
     columns = {c: sample.column(c).to_pylist() for c in sample.column_names}
-    for v, name in enumerate(("path", "opening", "body")):
+    weights, lines, report = [], [], {}
+    for v, kind in CLASSES:
         own = [i for i, x in enumerate(columns["view"]) if x == v]
-        parsed = [(np.frombuffer(columns["features"][i], "<i4"), np.frombuffer(columns["shares"][i], "<f4").astype(np.float64), int(columns["label"][i])) for i in own]
-        held = [columns["held_out"][i] for i in own]
-        w = fit([r for r, h in zip(parsed, held) if not h] or parsed) if parsed else np.zeros((1 << BITS) + 1, dtype=np.float32)
-        score = np.array([(w[x] @ s) * SCALE + w[-1] for x, s, _ in parsed])
-        label, out = np.array([r[2] for r in parsed], dtype=bool), np.array(held, dtype=bool)
-        # Well below the cases seen, those of repositories that the fit never saw included.
-        low = float(score[label].min()) if label.any() else 0.0
-        thresholds.append(min(0.0, low) - MARGIN)
-        tested = out if out.any() else np.ones(len(out), dtype=bool)
-        report[name] = {"rows": len(parsed), "cases": int(label.sum()), "held_out_accuracy": float(((score > 0) == label)[tested].mean()) if len(parsed) else None, "threshold": thresholds[-1]}
+        parsed = [(np.frombuffer(columns["places"][i], "<i4"), np.frombuffer(columns["shares"][i], "<f4").astype(np.float64)) for i in own]
+        label, out = np.array([columns["label"][i] == kind for i in own], dtype=bool), np.array([columns["held_out"][i] for i in own], dtype=bool)
+        inside = np.flatnonzero(~out) if (label & ~out).any() else np.arange(len(own))
+        w = fit([parsed[i] for i in inside], label[inside]) if label.any() else np.zeros((1 << BITS) + 1, dtype=np.float32)
+        score = np.array([_score(w, x) for x in parsed])
+        tested = out if (label & out).any() else np.ones(len(own), dtype=bool)
+        low = float(score[label & tested].min()) if label.any() else 0.0
+        lines.append(min(0.0, low) - SLACK)
+        said = (score > 0) & tested
+        hit = int((said & label).sum())
+        report[f"{VIEWS[v]} {kind}"] = {
+            "rows": len(inside), "cases": int(label[inside].sum()), "held_out_rows": int(out.sum()), "held_out_cases": int((label & out).sum()),
+            "recall": hit / max(1, int((label & tested).sum())), "precision": hit / max(1, int(said.sum())), "line": lines[-1],
+        }
         weights.append(w)
-    return np.stack(weights), thresholds, report
+    return np.stack(weights), lines, report
+
+
+def decide(weights: np.ndarray, lines: list[float], path: str, text: str | None) -> tuple[str, bool]:
+    """The kind of a file, empty if it isn't a case, and whether a rule had to be asked. Of several kinds that which ``CLASSES`` names first."""
+    seen, asked = views(path, text), False
+    for w, line, (v, kind) in zip(weights, lines, CLASSES):
+        score = _score(w, seen[v])
+        if score >= SURE:
+            return kind, asked
+        if score > line:
+            asked = True
+            if said := rules(path, text)[v]:
+                return said, asked
+    return "", asked
 
 
 def extension(path: str) -> Column:
@@ -281,28 +348,27 @@ def file_texts(files: DataFrame, documents: DataFrame, chunks: DataFrame) -> Dat
     return current.join(every, "file_id", "left")
 
 
-def not_handwritten(files: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, kind) of the source files that are generated, minified, third-party or data."""
+def judged(files: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(file_id, kind, asked) of every text of every source file; ``kind`` is empty where the file is hand-written."""
     spark = files.sparkSession
     prepare(spark)
     rows = materialize(file_texts(files, documents, chunks), "sources")
-    weights, thresholds, _ = train(rows, rows.count())
-    held = spark.sparkContext.broadcast((weights, thresholds))  # three times 65 537 weights
+    weights, lines, _ = train(rows, rows.count())
+    held = spark.sparkContext.broadcast((weights, lines))  # seven times 262 145 weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, thresholds = held.value
+        weights, lines = held.value
         for batch in batches:
-            at, kinds = [], []
-            for i, (path, size, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                found = ""
-                if any(s > t for s, t in zip(_scores(weights, views(path, text)), thresholds)):
-                    found = kind(path, text)
-                if not found and size is not None and size > BLOB_BYTES:
-                    found = "blob"
-                if found:
-                    at.append(i)
-                    kinds.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string())], names=["file_id", "kind"])
-
-    found = rows.select("file_id", "path", "size", "text").mapInArrow(run, "file_id long, kind string")
-    return found.groupBy("file_id").agg(F.min("kind").alias("kind"))
+            kinds, asked = [], []
+            for path, size, text in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                kind, close = decide(weights, lines, path, text)
+                kinds.append(kind or ("blob" if size is not None and size > BLOB_BYTES else ""))
+                asked.append(close)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(asked, pa.bool_())], names=["file_id", "kind", "asked"])
+
+    return rows.select("file_id", "path", "size", "text").mapInArrow(run, "file_id long, kind string, asked boolean")
+
+
+def not_handwritten(files: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(file_id, kind) of the source files that are generated, minified, third-party or data."""
+    return judged(files, documents, chunks).where("kind <> ''").groupBy("file_id").agg(F.min("kind").alias("kind"))
