@@ -52,6 +52,11 @@ def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.credentials(table(spark, sf, "chunks"), "text_content", "id").withColumnRenamed("id", "chunk_id")
 
 
+def p4_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole masked text of every chunk that holds a secret."""
+    return secrets.masked(table(spark, sf, "chunks"), "text_content", "id").withColumnRenamed("id", "chunk_id").withColumnRenamed("masked", "text")
+
+
 def p5_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.not_handwritten(*(table(spark, sf, t) for t in ("files", "documents", "chunks")))
 
@@ -81,4 +86,4 @@ def p10_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p2_found, p2_clean, p3_found, p3_neighbours, p4_found, p4_redacted, p5_found, p5_kinds, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p2_found, p2_clean, p3_found, p3_neighbours, p4_found, p4_redacted, p4_masked, p5_found, p5_kinds, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}

@@ -3,10 +3,13 @@
 Literals near an assignment, header, URL, flag or comment that speaks of a credential are segmented into dictionary words by
 Viterbi search; what no word explains is the residual, and a literal with a long residual is a secret. The dictionary is
 counted over all distinct texts, each word once in each, without the literals that are judged by it and without runs beside
-digits: however often a secret is repeated, it doesn't become a word that explains itself. Hashes, commit ids and the like
+digits: however often a secret is repeated, it doesn't become a word that explains itself. A word of the dictionary stands
+in a share (``WORD_SHARE``) of the distinct texts, so a text is judged alike in a small and in a large corpus, and the
+dictionary has at most the mean number of words of a text times 1 / ``WORD_SHARE`` entries. Known forms of hashes (crypt
+strings, digests with their name before them, hex digests under a signature's name) are no secrets; commit ids and the like
 stand under names that don't speak of credentials and are left alone; public keys, references, paths and placeholders are
 excluded by form. A private key block, a credential in a URL and a few unmistakable token forms are secrets wherever they
-stand.
+stand. No name, value or URL is too long to be read: all scanners take linear time.
 
 Null and empty texts hold none; rows of the same id and text are one record. Lines are split at ``\\n`` and count from 1; a
 value over several lines is one finding, at its first line.
@@ -25,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.session import prepare
+from corvine.session import materialize, prepare
 
-DICTIONARY_WORDS = 30_000  # a bound on what every worker holds
-LEAST_COUNT = 5
+WORD_SHARE = 1e-4  # of the distinct texts
+LEAST_COUNT = 5  # what a word needs where that share is less than one text or a few
+FLUSH_WORDS = 200_000
 MASK = "REDACTED"
 
 # What credentials are called, and what stands in for one.
@@ -40,26 +44,33 @@ PLACEHOLDER = re.compile(
     r"|<.*>|\[.*\]|\{\{.*\}\}|\$\{.*\}|\$\(.*\)|\$[a-z_]\w*|%\(?\w+\)?s?%?|@\w+@|__\w+__|[x*.•#?_-]+|.*(?:x{5}|\*{3}|\.{3}).*|env[.:(\[].*|.*environ.*|.*getenv.*|process\.env.*|vault:.*|file:.*|ref[:+].*|arn:.*|(?:\.{0,2}|~)/.*|[a-z]:\\.*)$",
     re.I | re.S,
 )
+# Forms of hashes.
+HASH = re.compile(
+    r"^(?:\$(?:2[abxy]?|1|5|6|7|y|md5|sha1|apr1|scrypt|argon2(?:id?|d)?|pbkdf2[\w\-]*)\$.+|\{S?(?:SHA|MD5|CRYPT|PBKDF2|ARGON2)[\w\-]*\}.+"
+    r"|(?:md5|sha-?(?:1|224|256|384|512)|sha3-\d+|blake[23][bs]?|ripemd160)[:=\-].+|(?:pbkdf2|bcrypt|scrypt|argon2)[\w\-]*\$.+)$",
+    re.I | re.S,
+)
+_DIGEST = re.compile(r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})$")
 
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 # A name with what leads to its value, and the value; apart, so that values of other names are never read to their end.
 _ASSIGN = (
-    re.compile(r"(?<![\w.])(?P<name>[A-Za-z_][\w.\-]{0,120})[\"'\]]{0,2}\s{0,40}(?::=|=>|==?|:)\s{0,40}"),
+    re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]++)[\"'\]]{0,2}\s*+(?::=|=>|==?|:)\s*+"),
     re.compile(r"(?P<value>(?:[rbfu]{0,2}(?:" + _QUOTED + r")(?:\s*\+\s*(?:" + _QUOTED + r"))*)|[^\s,;\"'`()<>{}\[\]]+)"),
 )
-_FLAG = (re.compile(r"(?<!\S)--?(?P<name>[A-Za-z][\w\-]{0,120})[ =]{1,9}"), re.compile(r"(?P<value>" + _QUOTED + r"|[^\s\"'`;|&]+)"))
+_FLAG = (re.compile(r"(?<!\S)--?(?P<name>[A-Za-z][\w\-]*+)[ =]++"), re.compile(r"(?P<value>" + _QUOTED + r"|[^\s\"'`;|&]+)"))
 _INSIDE = (
     re.compile(r"(?i)(?<![A-Za-z])(?P<name>pwd|password|passwd|pass|token|secret|api[_-]?key|access[_-]?token|access[_-]?key|sig|signature|key)="),
     re.compile(r"(?P<value>[^;&\s\"'`,)]+)"),
 )
 _SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token)\s+(?P<value>[A-Za-z0-9+/_.=\-~]{12,})")
-_URL = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]{0,30}://[^\s/:@\"'`<>]{0,200}:(?P<value>[^\s@\"'`<>]{1,500})@")
+_RUN = re.compile(r"[^\s\"'`<>]+")
 _USER = re.compile(r"(?<!\S)(?:-u|--user)[ =]+[\"']?[\w.\-]+:(?P<value>[^\s\"'`]+)")
 _HOOK = re.compile(r"(?i)https?://[^\s/\"'`]*hook[^\s/\"'`]*/(?P<value>[^\s\"'`<>)]+)")
 _FORMS = re.compile(r"\b(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]{8,}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9\-]{10,})(?![\w])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_PEM_BODY = re.compile(r"^(?P<lead>[^A-Za-z0-9+/]*)(?P<value>[A-Za-z0-9+/]{8,}={0,2})(?P<tail>\W*)$")
+_PEM_BODY = re.compile(r"^(?P<lead>\s*(?://|/\*|#|--|;|%|\*|>|\|)*\s*[\"'`]?)(?P<value>[A-Za-z0-9+/]{2,}={0,2})(?P<tail>(?:\\[nr])*\W*)$")
 # What a text and a line must hold to be read at all: a name that counts as a credential's, which may stand in two parts
 # (``pass_code``), or what another rule begins with.
 _NAMES = sorted(n for n in PASSWORDS | KEYS if not any(m != n and m in n for m in PASSWORDS | KEYS))
@@ -67,7 +78,7 @@ _TRIGGER = re.compile("(?i)" + "|".join([r"(?:[^\W0-9A-Za-z]|[.\-])*".join(n) fo
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LETTERS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])")
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_BLOCK = re.compile(r"(?<![\w.])(?P<name>[A-Za-z_][\w.\-]{0,120})[\"']?\s{0,40}(?::=|=|:)\s{0,40}(?:[|>][+\-]?|\"\"\"|'''|`|\\|\(|)\s*$")
+_BLOCK = re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]++)[\"']?\s*+(?::=|=|:)\s*+(?:[|>][+\-]?|\"\"\"|'''|`|\\|\(|)\s*$")
 
 
 class Segmenter:
@@ -78,7 +89,7 @@ class Segmenter:
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=0)
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
 
     def unexplained(self, run: str) -> int:
         """How many letters of one run of letters lie in no word of its cheapest segmentation."""
@@ -86,8 +97,9 @@ class Segmenter:
         best, back = [0.0] + [math.inf] * n, [(0, 0)] * (n + 1)
         for j in range(1, n + 1):
             best[j], back[j] = best[j - 1] + self.UNKNOWN, (j - 1, 1)
-            for i in range(max(0, j - self.longest), j - 2):
-                c = self.cost.get(run[i:j])
+            for length in self.lengths:
+                i = j - length
+                c = self.cost.get(run[i:j]) if i >= 0 else None
                 if c is not None and best[i] + c < best[j]:
                     best[j], back[j] = best[i] + c, (i, 0)
         left, j = 0, n
@@ -100,7 +112,7 @@ class Segmenter:
         """Letters in no word, plus digits; words only count where they stand as a program or a person would write them."""
         left = sum(c.isdigit() for c in value)
         for run in _WORDS.findall(value):
-            left += self.unexplained(run.lower()) if len(run) < 64 else len(run)
+            left += self.unexplained(run.lower())
         return left
 
 
@@ -117,7 +129,7 @@ def _name_kind(name: str, line: str, at: int) -> str:
         before = re.findall(r"[A-Za-z]+", line[max(0, at - 16) : at])
         if PUBLIC & ({*parts[:-1]} | {w.lower() for w in before[-1:]}):
             return ""
-        return "key"
+        return "signature" if last == "signature" else "key"
     return ""
 
 
@@ -131,7 +143,9 @@ def secret_spans(line: str, words: Segmenter) -> list[tuple[int, int]]:
     """Where secrets stand in a line, without the blocks of private keys."""
     spans: list[tuple[int, int]] = []
 
-    def plain(value: str) -> bool:
+    def plain(value: str, kind: str = "") -> bool:
+        if HASH.match(value) or (kind == "signature" and _DIGEST.match(value)):
+            return True
         return bool(PLACEHOLDER.match(value)) or value.startswith(("ssh-", "http://", "https://")) or "${" in value or "{{" in value
 
     def long_enough(value: str, kind: str) -> bool:
@@ -148,9 +162,9 @@ def secret_spans(line: str, words: Segmenter) -> list[tuple[int, int]]:
             value, quoted = _literal(v["value"])
             if quoted:
                 at = v.end()
-            elif line[v.end() : v.end() + 1] in ("(", "[") or re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+(?:\?[\w.]+:[\w.]+)?", value) or re.fullmatch(r"[\d.]+", value):
+            elif line[v.end() : v.end() + 1] in ("(", "[") or (_ATTRIBUTE.fullmatch(value) and not _is_random(value)) or re.fullmatch(r"[\d.]+", value):
                 continue  # a call, an attribute, a choice by one, a number
-            if " " in value or plain(value) or not long_enough(value, kind):
+            if " " in value or plain(value, kind) or not long_enough(value, kind):
                 continue
             spans.append(v.span("value"))
             at = v.end()
@@ -158,7 +172,10 @@ def secret_spans(line: str, words: Segmenter) -> list[tuple[int, int]]:
         value = m["value"]
         if not plain(value) and (long_enough(value, "key") or _is_basic(value)):
             spans.append(m.span("value"))
-    for pattern, kind in ((_URL, "password"), (_USER, "password"), (_HOOK, "hook"), (_FORMS, "form")):
+    for a, b in _url_passwords(line):
+        if not plain(line[a:b]) and words.residual(line[a:b]) >= 3:
+            spans.append((a, b))
+    for pattern, kind in ((_USER, "password"), (_HOOK, "hook"), (_FORMS, "form")):
         for m in pattern.finditer(line):
             value = m["value"]
             if plain(value) and kind != "hook":
@@ -168,6 +185,35 @@ def secret_spans(line: str, words: Segmenter) -> list[tuple[int, int]]:
     return spans
 
 
+_ATTRIBUTE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+(?:\?[\w.]+:[\w.]+)?")
+
+
+def _is_random(value: str) -> bool:
+    """Whether a part of a dotted value mixes cases and digits as no name does."""
+    return any(len(p) >= 16 and len(re.findall(r"\d", p)) >= 2 and len(re.findall(r"[a-z][A-Z]|[A-Z][a-z]", p)) >= 4 for p in value.split("."))
+
+
+def _url_passwords(line: str) -> Iterator[tuple[int, int]]:
+    """Where ``scheme://user:password@`` has its password; each place is read once."""
+    if "://" not in line:
+        return
+    for m in _RUN.finditer(line):
+        run, at = m[0], 0
+        while (i := run.find("://", at)) >= 0:
+            at = i + 3
+            if not i or not re.match(r"[A-Za-z0-9+.\-]", run[i - 1]):
+                continue
+            user = re.compile(r"[^/:@]*").match(run, at).end()
+            if run[user : user + 1] != ":":
+                continue
+            end = run.find("@", user + 1)
+            if end < 0:
+                break  # nor has what follows one
+            if end > user + 1:
+                yield m.start() + user + 1, m.start() + end
+            at = end
+
+
 def _is_basic(value: str) -> bool:
     try:
         user, _, password = base64.b64decode(value, validate=True).decode("ascii").partition(":")
@@ -186,26 +232,51 @@ def find(text: str | None, words: Segmenter) -> dict[int, list[tuple[int, int, i
     found: dict[int, list[tuple[int, int, int]]] = {}
     lines = text.split("\n")
     block: int | None = None  # the line at which a private key begins
+    body: list[tuple[int, int, int]] = []
+    begun = False
     pending: tuple[str, int] | None = None  # a credential's name whose value stands on the lines after it
+
+    def close() -> None:
+        """The key ends; one whose body is masked is none."""
+        if not body or any(lines[n - 1][a:b].strip() != MASK for n, a, b in body):
+            found.setdefault(block, []).extend(body or [(block, 0, 0)])
+
     for n, line in enumerate(lines, 1):
-        if (m := _PEM.search(line)) and block is None:
-            block = n
-            found.setdefault(n, []).append((n, *m.span()))
-            if not _PEM_END.search(line):
+        if block is None and (m := _PEM.search(line)):
+            begun = True
+            if end := _PEM_END.search(line, m.end()):  # all of it on one line
+                inner = line[m.end() : end.start()]
+                if inner.replace("\\n", "").strip() and MASK not in inner:
+                    found.setdefault(n, []).append((n, m.end(), end.start()))
                 continue
+            block, body = n, []
+            continue
         if block is not None:
-            end = _PEM_END.search(line)
-            if end:
-                found[block].append((n, *end.span()))
+            if _PEM_END.search(line):
+                close()
                 block = None
-            elif body := _PEM_BODY.match(line):
-                found[block].append((n, *body.span("value")))
-            elif line.strip() and not re.match(r"^[\W_]*(?:[\w\-]+: .*)?[\W_]*$", line):
-                block = None  # the key is cut off here
+                continue
+            m = _PEM_BODY.match(line)
+            if m and (len(m["value"]) >= 8 or (n < len(lines) and _PEM_END.search(lines[n]))):
+                body.append((n, *m.span("value")))
+                continue
+            if not line.strip() or re.match(r"^[\W_]*(?:[\w\-]+: .*)?[\W_]*$", line):
+                continue
+            close()
+            block = None  # the key is cut off here
+        elif not begun and _PEM_END.search(line):  # the key began in an earlier record
+            begun, tail = True, []
+            for k in range(n - 1, 0, -1):
+                m = _PEM_BODY.match(lines[k - 1])
+                if not m or not (len(m["value"]) >= 8 or k == n - 1):
+                    break
+                tail.append((k, *m.span("value")))
+            if any(lines[k - 1][a:b] != MASK for k, a, b in tail):
+                found.setdefault(tail[-1][0], []).extend(tail)
             continue
         if pending and (m := re.match(r"^\s*(?:[rbfu]{0,2}[\"'`]+)?(?P<value>[A-Za-z0-9+/_.=~!@#$%^&*\-]{8,})[\"'`)]*[,;]?\s*$", line)):
             value = m["value"]
-            if not PLACEHOLDER.match(value) and words.residual(value) >= (3 if pending[0] == "password" else 8) and not _ASSIGN[0].match(line.strip()):
+            if not PLACEHOLDER.match(value) and not HASH.match(value) and words.residual(value) >= (3 if pending[0] == "password" else 8) and not _ASSIGN[0].match(line.strip()):
                 found.setdefault(pending[1] or n, []).append((n, *m.span("value")))
                 pending = (pending[0], pending[1] or n)
                 continue
@@ -216,10 +287,8 @@ def find(text: str | None, words: Segmenter) -> dict[int, list[tuple[int, int, i
             found.setdefault(n, []).append((n, *span))
         if (n not in found or words is NO_WORDS) and (m := _BLOCK.search(line)) and (kind := _name_kind(m["name"], line, m.start())):
             pending = (kind, 0)
-    if not found and (ends := [n for n, line in enumerate(lines, 1) if _PEM_END.search(line)]):
-        body = [(n, *m.span("value")) for n in range(1, ends[0]) if (m := _PEM_BODY.match(lines[n - 1]))]
-        if body:  # the key began in an earlier record
-            found[body[0][0]] = body
+    if block is not None:
+        close()
     return found
 
 
@@ -242,8 +311,8 @@ def redact(text: str | None, words: Segmenter) -> str | None:
             if a < at:
                 continue
             raw = line[a:b]
-            if _PEM.search(raw) or _PEM_END.search(raw):
-                continue
+            if not raw:
+                continue  # a key whose body stands in the next record
             prefix = re.match(r"[rbfu]{0,2}(?=[\"'`])", raw)[0] if re.match(r"[rbfu]{0,2}[\"'`]", raw) else ""
             quote = raw[len(prefix)] if raw[len(prefix) : len(prefix) + 1] in ("'", '"', "`") else ""
             out += [line[at:a], prefix, quote, MASK, quote]
@@ -273,42 +342,70 @@ def _unjudged(text: str) -> str:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
             runs = _WORDS.findall(" ".join(set(_LETTERS.findall(_unjudged(text)))))
-            seen.update({w.lower() for w in runs if 3 <= len(w) <= 24})
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.update({w.lower() for w in runs if len(w) >= 3})
+            seen[""] += 1  # counts the texts
+            if len(seen) > FLUSH_WORDS:
+                yield rows()
+                seen.clear()
+    yield rows()
 
 
-def dictionary(texts: DataFrame, column: str, most: int = DICTIONARY_WORDS) -> dict[str, int]:
-    """The most frequent words of all distinct texts, of those that stand in at least ``LEAST_COUNT`` of them.
+def dictionary(texts: DataFrame, column: str) -> dict[str, int]:
+    """The words that stand in at least ``WORD_SHARE`` of all distinct texts, and in ``LEAST_COUNT`` of them.
 
     A word counts once in a text, and not where it stands in a literal that ``find`` judges or beside a digit.
     """
-    counts = texts.where(F.col(column).isNotNull()).select(column).distinct().mapInArrow(_count, "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most)
-    return {w: n for w, n in top.toLocalIterator()}
+    distinct = texts.where(F.col(column).isNotNull()).select(column).distinct()
+    counts = materialize(distinct.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.where("word = ''").select("n").first()
+    least = max(LEAST_COUNT, math.ceil(WORD_SHARE * (total[0] if total else 0)))
+    return {w: n for w, n in counts.where((F.col("n") >= least) & (F.col("word") != "")).toLocalIterator()}
 
 
-def credentials(records: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, line_no, redacted) of every finding; ``redacted`` is the masked text of the finding's first line."""
+def _readings(records: DataFrame, text: str, key: str, each, columns: str, kinds: list[pa.DataType]) -> DataFrame:
+    """What ``each`` (text, findings, masked text) gives out for the records with findings, as rows."""
     prepare(records.sparkSession)
     held = records.sparkSession.sparkContext.broadcast(dictionary(records, text))
     kind = records.schema[key].dataType.simpleString()
+    names = [key, *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Segmenter(held.value)
         for batch in batches:
-            rows, numbers, masked = [], [], []
+            at, out = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                found = find(t, words)
-                if found:
-                    lines = redact(t, words).split("\n")
-                    for n in sorted(found):
-                        rows.append(i)
-                        numbers.append(n)
-                        masked.append(lines[n - 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(masked, pa.string())], names=[key, "line_no", "redacted"])
+                if found := find(t, words):
+                    rows = each(found, redact(t, words))
+                    at += [i] * len(rows)
+                    out += rows
+            columns = list(zip(*out)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
-    return rows.mapInArrow(run, f"`{key}` {kind}, line_no int, redacted string").dropDuplicates([key, "line_no"])
+    return rows.mapInArrow(run, f"`{key}` {kind}, {columns}")
+
+
+def credentials(records: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, line_no, redacted) of every finding; ``redacted`` is the masked text of the finding's first line."""
+
+    def each(found, masked):
+        lines = masked.split("\n")
+        return [(n, lines[n - 1]) for n in sorted(found)]
+
+    return _readings(records, text, key, each, "line_no int, redacted string", [pa.int32(), pa.string()]).dropDuplicates([key, "line_no"])
+
+
+def masked(records: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, findings, masked) of every record with a finding: its whole text, in which nothing is found any more.
+
+    Repeated rows come out once; an id of several texts comes out once for each.
+    """
+    each = lambda found, text: [(len(found), text)]
+    return _readings(records, text, key, each, "findings int, masked string", [pa.int32(), pa.string()]).distinct()
