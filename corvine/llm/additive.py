@@ -2,7 +2,8 @@
 
 The codebooks start as k-means of the residuals that the earlier ones leave and are fitted once more together by least
 squares. Encoding is a beam search over the codebooks, on tables of the entries' inner products. A query's score of a coded
-vector is a sum of table look-ups, divided by the stored norm of the coded vector.
+vector is a sum of table look-ups, divided by the norm of the coded vector, which is stored beside its code. The entries of
+the first codebook are numbered so that near ones have near numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +28,20 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
+def _line(centres: np.ndarray) -> np.ndarray:
+    """An order in which near centres stand near each other: halves along the widest direction, again and again."""
+
+    def halves(at: np.ndarray) -> list[int]:
+        if len(at) <= 2:
+            return at.tolist()
+        x = centres[at] - centres[at].mean(0)
+        along = x @ np.linalg.svd(x, full_matrices=False)[2][0]
+        order = at[np.argsort(along, kind="stable")]
+        return halves(order[: len(order) // 2]) + halves(order[len(order) // 2 :])
+
+    return np.array(halves(np.arange(len(centres))))
+
+
 class Quantiser:
     """``books``: (number of codebooks, entries, dimensions)."""
 
@@ -61,7 +76,8 @@ class Quantiser:
                 np.add.at(right, at[:, i], x)
             right += 0.1 * q.books.reshape(-1, q.d)  # unused entries stay where they are
             q = cls(np.linalg.solve(gram + 0.1 * np.eye(len(gram)), right).reshape(books, entries, -1))
-        return q
+        q.books[0] = q.books[0][_line(q.books[0])]
+        return cls(q.books)
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """The codes of each vector, uint8, by beam search."""
@@ -96,59 +112,96 @@ class Quantiser:
         top = np.argpartition(-score, count - 1, axis=1)[:, :count] if count < self.k else np.tile(np.arange(self.k), (len(x), 1))
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
 
+    def second_entries(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The entry of the second codebook that is nearest to what ``first`` leaves of each vector."""
+        left = x - self.books[0][first]
+        return np.argmax(left @ self.books[1].T - 0.5 * self.norms[1], axis=1)
+
+    def nearest_pairs(self, x: np.ndarray, first: np.ndarray, allowed: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first entry, second entry) of the ``count`` nearest sums of two entries, the first of ``first`` where ``allowed``."""
+        rows, width = np.flatnonzero(allowed.any(1)), first.shape[1]
+        out: list[tuple[np.ndarray, ...]] = []
+        for i in range(0, len(rows), 512):
+            r = rows[i : i + 512]
+            own = first[r]
+            alone = 0.5 * self.norms[0][own] - np.take_along_axis(x[r] @ self.books[0].T, own, axis=1)
+            cost = alone[:, :, None] + (0.5 * self.norms[1] - x[r] @ self.books[1].T)[:, None, :] + self.cross[0][own, 1]
+            cost[~allowed[r]] = np.inf
+            flat = cost.reshape(len(r), -1)
+            most = min(count, flat.shape[1])
+            best = np.argpartition(flat, most - 1, axis=1)[:, :most] if most < flat.shape[1] else np.tile(np.arange(most), (len(r), 1))
+            fine = np.isfinite(np.take_along_axis(flat, best, axis=1)).ravel()
+            out.append((np.repeat(r, most)[fine], np.take_along_axis(own, best // self.k, axis=1).ravel()[fine], (best % self.k).ravel()[fine]))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=int),) * 3
+
     def tables(self, x: np.ndarray) -> np.ndarray:
-        """Per codebook, (vector * entry): inner products, from which scores are looked up."""
-        return np.stack([(x @ b.T).ravel() for b in self.books])
+        """Per codebook, vector by entry, the inner products from which scores are looked up."""
+        return np.stack([x @ b.T for b in self.books])
+
 
+SCORES = 1 << 22  # so many at once
 
-def search(q: Quantiser, base: np.ndarray, codes: np.ndarray, base_ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, cells: np.ndarray, probes: np.ndarray, rerank: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in ``asked``, place in ``base``, cosine) of the candidates with a cosine of at least ``least``.
 
-    ``codes`` and ``cells`` belong to the base vectors, ``probes`` has the cells that each asked vector looks into. All
-    vectors are unit vectors. Candidates come from table scores. For ``least`` above 0 they are those whose score reaches
-    what a vector of that cosine scores, less five standard deviations of the quantiser's error, however many they are;
-    else the ``rerank`` best of each asked vector. A vector's match with its own id is left out.
+class Shard:
+    """Coded vectors in leaves (runs of equal ``leaf``), against which other vectors are scored.
+
+    ``norm`` is the stored norm of each coded vector, ``fit`` its cosine with the vector it codes.
     """
-    decoded = q.decode(codes)
-    norms = np.maximum(np.linalg.norm(decoded, axis=1), 1e-6)
-    true = np.einsum("nd,nd->n", base, decoded) / norms  # how well each vector is coded
-    bound = least * true - 5 * np.sqrt(max(0.0, 1 - least**2) * np.maximum(0, 1 - true**2) / max(1, q.d - 1)) if least > 0 else None
-    order = np.argsort(cells, kind="stable")
-    begins = np.searchsorted(cells[order], np.arange(q.k + 1))
-    rows, hits = [], []
-    for i in range(0, len(asked), 4096):
-        own, look = asked[i : i + 4096], probes[i : i + 4096]
-        tables = q.tables(own)
-        width = look.shape[1]
-        by_cell = np.argsort(look.ravel(), kind="stable")
-        cuts = np.searchsorted(look.ravel()[by_cell], np.arange(q.k + 1))
-        row_of, hit_of, score_of = [], [], []
-        for cell in np.flatnonzero((np.diff(begins) > 0) & (np.diff(cuts) > 0)):
-            members, row = order[begins[cell] : begins[cell + 1]], by_cell[cuts[cell] : cuts[cell + 1]] // width
-            score = np.zeros((len(row), len(members)), dtype=np.float32)
-            at = row[:, None] * q.k
-            for m in range(q.m):
-                score += np.take(tables[m], at + codes[members, m])
-            score /= norms[members]
-            r, c = np.nonzero(score >= bound[members]) if bound is not None else np.indices(score.shape).reshape(2, -1)
-            row_of.append(row[r])
-            hit_of.append(members[c])
-            if bound is None:
-                score_of.append(score[r, c])
+
+    def __init__(self, q: Quantiser, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, leaf: np.ndarray, least: float):
+        order = np.argsort(leaf, kind="stable")
+        self.q, self.least = q, least
+        self.ids, self.x, self.codes, self.norm, self.leaf = ids[order], x[order], codes[order], norm[order], leaf[order]
+        self.names, self.begins = np.unique(self.leaf, return_index=True)
+        self.ends = np.append(self.begins[1:], len(ids))
+        # what a vector of a cosine of ``least`` scores, less five standard deviations of the code's error
+        f = fit[order].astype(np.float64)
+        self.bound = (least * f - 5 * np.sqrt(max(0.0, 1 - least**2) * np.maximum(0, 1 - f**2) / max(1, q.d - 1))).astype(np.float32) if least > 0 else None
+
+    def search(self, asked: np.ndarray, asked_ids: np.ndarray, rows: np.ndarray, leaves: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(place in ``asked``, id, cosine) of the candidates with a cosine of at least ``least``, and how many were scored.
+
+        ``rows`` and ``leaves`` say which asked vector looks into which leaf. Candidates come from table scores. For
+        ``least`` above 0 they are those whose score reaches the bound, however many they are; else the ``rerank`` best of
+        each asked vector. Their exact cosines decide. A vector's match with its own id is left out.
+        """
+        tables, q = self.q.tables(asked), self.q
+        at = np.searchsorted(self.names, leaves)
+        there = (at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == leaves)
+        rows, at = rows[there], at[there]
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        row_of, hit_of, score_of, scored = [], [], [], 0
+        for k, begin, end in zip(*np.unique(at, return_index=True), np.append(np.unique(at, return_index=True)[1][1:], len(at))):
+            a, b = self.begins[k], self.ends[k]
+            codes, own = self.codes[a:b], rows[begin:end]
+            step = max(1, SCORES // (b - a))
+            for i in range(0, len(own), step):
+                r = own[i : i + step]
+                score = np.take(tables[0][r], codes[:, 0], axis=1)
+                for m in range(1, q.m):
+                    score += np.take(tables[m][r], codes[:, m], axis=1)
+                score /= self.norm[a:b]
+                scored += score.size
+                if self.bound is not None:
+                    r_at, c_at = np.nonzero(score >= self.bound[a:b])
+                else:
+                    most = min(rerank + 1, b - a)  # one more, as the vector itself may be among them
+                    c_at = np.argpartition(-score, most - 1, axis=1)[:, :most].ravel()
+                    r_at = np.repeat(np.arange(len(r)), most)
+                    score_of.append(score[r_at, c_at])
+                row_of.append(r[r_at])
+                hit_of.append(a + c_at)
         if not row_of:
-            continue
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), scored
         row, hit = np.concatenate(row_of), np.concatenate(hit_of)
-        if bound is None:
+        if self.bound is None:
             best = np.lexsort((-np.concatenate(score_of), row))
             row, hit = row[best], hit[best]
             place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, hit = row[place <= rerank], hit[place <= rerank]  # one more, as the vector itself may be among them
-        keep = asked_ids[i + row] != base_ids[hit]
-        rows.append(i + row[keep])
-        hits.append(hit[keep])
-    if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-    a, b = np.concatenate(rows), np.concatenate(hits)
-    cosine = np.concatenate([np.einsum("nd,nd->n", asked[a[i : i + 65536]].astype(np.float64), base[b[i : i + 65536]].astype(np.float64)) for i in range(0, len(a), 65536)] or [np.zeros(0)])
-    keep = cosine >= least
-    return a[keep], b[keep], cosine[keep]
+            row, hit = row[place <= rerank], hit[place <= rerank]
+        keep = asked_ids[row] != self.ids[hit]
+        row, hit = row[keep], hit[keep]
+        cosine = np.concatenate([np.einsum("nd,nd->n", asked[row[i : i + 65536]].astype(np.float64), self.x[hit[i : i + 65536]].astype(np.float64)) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+        keep = cosine >= self.least
+        return row[keep], self.ids[hit[keep]], cosine[keep], scored

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from corvine.llm import neighbours as n
-from corvine.llm.additive import Quantiser, search
+from corvine.llm.additive import Quantiser, Shard
 
 SCHEMA = "id long, collection string, vector array<float>"
 
@@ -50,13 +50,40 @@ def test_recall_and_no_false_pairs(spark, rows):
     assert got <= want and len(got & want) >= 0.98 * len(want) and want
 
 
-@pytest.mark.parametrize("shard, block", [(100, 50), (4096, 64)])
-def test_large_collections_are_split(spark, rows, monkeypatch, shard, block):
+@pytest.mark.parametrize("leaf, shard, visit", [(100, 200, 1 << 19), (40, 64, 50), (5, 30, 1 << 19)])
+def test_large_collections_are_split(spark, rows, monkeypatch, leaf, shard, visit):
+    monkeypatch.setattr(n, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(n, "LEAF_ROOT", 1)
     monkeypatch.setattr(n, "SHARD_ROWS", shard)
-    monkeypatch.setattr(n, "BLOCK_ROWS", block)
+    monkeypatch.setattr(n, "VISIT_ROWS", visit)
     want = brute(rows, 5, 0.9)
     got = pairs(n.neighbours(spark.createDataFrame(rows, SCHEMA), 5, 0.9))
-    assert got <= want and len(got & want) >= 0.95 * len(want)
+    assert got <= want and len(got & want) >= 0.97 * len(want)
+
+
+def test_a_cell_of_half_of_all_rows_is_split(spark, monkeypatch):
+    monkeypatch.setattr(n, "LEAF_ROWS", 64)
+    monkeypatch.setattr(n, "LEAF_ROOT", 1)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([vectors(rng, 300, 4, 0.2), 3 * np.ones(64) + 0.05 * np.repeat(rng.normal(size=(300, 64)), 4, axis=0) + 0.01 * rng.normal(size=(1200, 64))])
+    coded = rows_of(x, "c")
+    df = spark.createDataFrame(coded, SCHEMA)
+    small = spark.createDataFrame(rows_of(np.concatenate([x[:1200], x[1200:1204]]), "c"), SCHEMA)  # a quantiser that hardly knows the dense half
+    got = pairs(n.neighbours(df, 3, 0.9, sample_from=small))
+    want = brute(coded, 3, 0.9)
+    assert got <= want | {(a, b) for a, b in got} and len(got & want) >= 0.95 * len(want)
+
+
+def test_layout_numbers_shards_by_counted_sizes(spark, monkeypatch):
+    monkeypatch.setattr(n, "LEAF_ROWS", 20)
+    monkeypatch.setattr(n, "LEAF_ROOT", 1)
+    monkeypatch.setattr(n, "SHARD_ROWS", 100)
+    rows = [("a", 1, i % 4) for i in range(400)] + [("a", 2, 0)] * 10 + [("a", 3, 7)] * 350 + [("tiny", 1, 1)] * 20
+    got = {r.collection: r for r in n._layout(spark.createDataFrame(rows, "collection string, first int, second int")).collect()}
+    assert set(got) == {"a"}
+    a = got["a"]
+    assert sorted(a.deep) == [1, 3] and set(a.shards) == {2} and sorted(a.inner[1]) == [0, 1, 2, 3]
+    assert [a.inner[1][i] // 65536 for i in range(4)] == [0, 1, 2, 3] and a.shards[2] // 65536 == 4 and a.inner[3][7] == 4 * 65536 + 3
 
 
 def test_without_threshold_every_row_has_k_neighbours(spark):
@@ -101,8 +128,25 @@ def test_quantiser_codes_better_than_its_first_book():
     first = ((x - q.books[0][q.nearest_entries(x, 1)[:, 0]]) ** 2).sum(1).mean()
     assert error < 0.8 * first and error < ((x - q.decode(q.encode(x, beam=1))) ** 2).sum(1).mean() + 1e-6
     tables = q.tables(x[:5])
-    looked_up = sum(tables[m].reshape(5, -1)[np.arange(5), codes[:5, m]] for m in range(q.m))
+    looked_up = sum(tables[m][np.arange(5), codes[:5, m]] for m in range(q.m))
     assert np.allclose(looked_up, (x[:5] * q.decode(codes[:5])).sum(1), atol=1e-4)
     few = Quantiser.train(x[:3])
-    a, b, c = search(few, x[:3], few.encode(x[:3]), np.arange(3), x[:3], np.arange(3), few.nearest_entries(x[:3], 1)[:, 0], few.nearest_entries(x[:3], 9), 5, -1.0)
-    assert len(a) == 6
+    code = few.encode(x[:3])
+    decoded = few.decode(code)
+    norm = np.linalg.norm(decoded, axis=1)
+    whole = Shard(few, np.arange(3), x[:3], code, norm, np.einsum("nd,nd->n", x[:3], decoded) / norm, np.full(3, n.WHOLE), -1.0)
+    a, b, c, scored = whole.search(x[:3], np.arange(3), np.arange(3), np.full(3, n.WHOLE), 5)
+    assert len(a) == 6 and scored == 9
+
+
+def test_nearest_pairs_are_the_nearest_sums_of_two_entries():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 8)).astype(np.float32)
+    q = Quantiser.train(x, books=3, entries=16)
+    first = q.nearest_entries(x[:20], 5)
+    allowed = first % 2 == 0
+    row, one, two = q.nearest_pairs(x[:20], first, allowed, 6)
+    for r in range(20):
+        sums = {(int(i), j): float(((x[r] - q.books[0][i] - q.books[1][j]) ** 2).sum()) for i in first[r][allowed[r]] for j in range(16)}
+        best = set(sorted(sums, key=sums.get)[:6])
+        assert {(int(a), int(b)) for a, b in zip(one[row == r], two[row == r])} == best
