@@ -140,6 +140,7 @@ class Quantiser:
 
 
 SCORES = 1 << 22  # so many at once
+FEW = 64  # candidates of a leaf that are reranked at a time, those of the greatest score first
 
 
 class Shard:
@@ -148,60 +149,91 @@ class Shard:
     ``norm`` is the stored norm of each coded vector, ``fit`` its cosine with the vector it codes.
     """
 
-    def __init__(self, q: Quantiser, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, leaf: np.ndarray, least: float):
+    def __init__(self, q: Quantiser, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, leaf: np.ndarray, least: float, k: int):
         order = np.argsort(leaf, kind="stable")
-        self.q, self.least = q, least
+        self.q, self.least, self.k = q, np.float32(least), k
         self.ids, self.x, self.codes, self.norm, self.leaf = ids[order], x[order], codes[order], norm[order], leaf[order]
         self.names, self.begins = np.unique(self.leaf, return_index=True)
         self.ends = np.append(self.begins[1:], len(ids))
-        # what a vector of a cosine of ``least`` scores, less five standard deviations of the code's error
-        f = fit[order].astype(np.float64)
-        self.bound = (least * f - 5 * np.sqrt(max(0.0, 1 - least**2) * np.maximum(0, 1 - f**2) / max(1, q.d - 1))).astype(np.float32) if least > 0 else None
-
-    def search(self, asked: np.ndarray, asked_ids: np.ndarray, rows: np.ndarray, leaves: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(place in ``asked``, id, cosine) of the candidates with a cosine of at least ``least``, and how many were scored.
-
-        ``rows`` and ``leaves`` say which asked vector looks into which leaf. Candidates come from table scores. For
-        ``least`` above 0 they are those whose score reaches the bound, however many they are; else the ``rerank`` best of
-        each asked vector. Their exact cosines decide. A vector's match with its own id is left out.
+        self.fit = fit[order].astype(np.float32)
+        # five standard deviations of what a code's error adds to the score of an orthogonal unit vector
+        self.slack = (5 * np.sqrt(np.maximum(0, 1 - self.fit.astype(np.float64) ** 2) / max(1, q.d - 1))).astype(np.float32)
+
+    def search(self, asked: np.ndarray, asked_ids: np.ndarray, rows: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(place in ``asked``, id, cosine) of the ``k`` best of each asked vector, and all that tie with the last, of a cosine
+        of at least ``least``; and how many pairs were scored.
+
+        ``rows`` and ``leaves`` say which asked vector looks into which leaf; its first one is read first. Candidates come
+        from table scores: those that reach what a vector scores that is as similar as the k-th best so far, less five
+        standard deviations of the code's error. Their exact cosines decide. Where a leaf has more than ``FEW`` of them, they
+        are reranked in the order of their scores until ``FEW`` in a row bring nothing better: this, the leaves that aren't
+        looked into and the five deviations are what accuracy is lost by. A vector's match with its own id is left out.
         """
-        tables, q = self.q.tables(asked), self.q
+        n, scored = len(asked), 0
+        best = np.full((n, self.k), self.least, dtype=np.float32)  # the best exact cosines so far, the least of them first
+        tables = self.q.tables(asked)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at = np.searchsorted(self.names, leaves)
         there = (at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == leaves)
         rows, at = rows[there], at[there]
-        order = np.argsort(at, kind="stable")
-        rows, at = rows[order], at[order]
-        row_of, hit_of, score_of, scored = [], [], [], 0
-        for k, begin, end in zip(*np.unique(at, return_index=True), np.append(np.unique(at, return_index=True)[1][1:], len(at))):
-            a, b = self.begins[k], self.ends[k]
-            codes, own = self.codes[a:b], rows[begin:end]
-            step = max(1, SCORES // (b - a))
-            for i in range(0, len(own), step):
-                r = own[i : i + step]
-                score = np.take(tables[0][r], codes[:, 0], axis=1)
-                for m in range(1, q.m):
-                    score += np.take(tables[m][r], codes[:, m], axis=1)
-                score /= self.norm[a:b]
-                scored += score.size
-                if self.bound is not None:
-                    r_at, c_at = np.nonzero(score >= self.bound[a:b])
-                else:
-                    most = min(rerank + 1, b - a)  # one more, as the vector itself may be among them
-                    c_at = np.argpartition(-score, most - 1, axis=1)[:, :most].ravel()
-                    r_at = np.repeat(np.arange(len(r)), most)
-                    score_of.append(score[r_at, c_at])
-                row_of.append(r[r_at])
-                hit_of.append(a + c_at)
-        if not row_of:
+        _, first = np.unique(rows, return_index=True)
+        later = np.ones(len(rows), dtype=bool)
+        later[first] = False
+
+        def exact(row: np.ndarray, hit: np.ndarray) -> None:
+            other = asked_ids[row] != self.ids[hit]
+            row, hit = row[other], hit[other]
+            for i in range(0, len(row), 65_536):
+                r, h = row[i : i + 65_536], hit[i : i + 65_536]
+                near = np.einsum("nd,nd->n", asked[r], self.x[h]) >= best[r, 0] - 1e-5
+                r, h = r[near], h[near]
+                cosine = np.einsum("nd,nd->n", asked[r].astype(np.float64), self.x[h].astype(np.float64))
+                good = cosine >= best[r, 0]
+                r, h, cosine = r[good], h[good], cosine[good]
+                if not len(r):
+                    continue
+                kept.append((r, h, cosine))
+                order = np.lexsort((-cosine, r))
+                r, cosine = r[order], cosine[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                top = place < self.k
+                of, back = np.unique(r[top], return_inverse=True)
+                new = np.full((len(of), self.k), -2.0, dtype=np.float32)
+                new[back, place[top]] = np.nextafter(cosine[top].astype(np.float32), np.float32(-2))
+                best[of] = np.sort(np.concatenate([best[of], new], axis=1), axis=1)[:, self.k :]
+
+        for rows_now, at_now in ((rows[~later], at[~later]), (rows[later], at[later])):
+            order = np.argsort(at_now, kind="stable")
+            rows_now, at_now = rows_now[order], at_now[order]
+            leaf, begins = np.unique(at_now, return_index=True)
+            for j, begin, end in zip(leaf, begins, np.append(begins[1:], len(at_now))):
+                a, b = self.begins[j], self.ends[j]
+                codes, fit, slack = self.codes[a:b], self.fit[a:b], self.slack[a:b]
+                step = max(1, SCORES // (b - a))
+                for i in range(begin, end, step):
+                    r = rows_now[i : min(end, i + step)]
+                    score = np.take(tables[0][r], codes[:, 0], axis=1)
+                    for m in range(1, self.q.m):
+                        score += np.take(tables[m][r], codes[:, m], axis=1)
+                    score /= self.norm[a:b]
+                    scored += score.size
+                    while len(r):
+                        t = best[r, :1]
+                        passed = score >= t * fit - np.sqrt(np.maximum(0, 1 - t * t)) * slack
+                        many = passed.sum(1) > FEW
+                        row, hit = np.nonzero(passed & ~many[:, None])
+                        exact(r[row], a + hit)
+                        if not many.any():
+                            break
+                        r, score = r[many], score[many]
+                        top = np.argpartition(score, score.shape[1] - FEW, axis=1)[:, -FEW:]
+                        before = best[r].sum(1)
+                        exact(np.repeat(r, FEW), a + top.ravel())
+                        np.put_along_axis(score, top, -np.inf, axis=1)
+                        better = best[r].sum(1) > before
+                        r, score = r[better], score[better]
+        if not kept:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), scored
-        row, hit = np.concatenate(row_of), np.concatenate(hit_of)
-        if self.bound is None:
-            best = np.lexsort((-np.concatenate(score_of), row))
-            row, hit = row[best], hit[best]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, hit = row[place <= rerank], hit[place <= rerank]
-        keep = asked_ids[row] != self.ids[hit]
-        row, hit = row[keep], hit[keep]
-        cosine = np.concatenate([np.einsum("nd,nd->n", asked[row[i : i + 65536]].astype(np.float64), self.x[hit[i : i + 65536]].astype(np.float64)) for i in range(0, len(row), 65536)] or [np.zeros(0)])
-        keep = cosine >= self.least
-        return row[keep], self.ids[hit[keep]], cosine[keep], scored
+        row, hit, cosine = (np.concatenate(c) for c in zip(*kept))
+        good = (cosine >= best[row, 0]) & (cosine >= self.least)
+        return row[good], self.ids[hit[good]], cosine[good], scored

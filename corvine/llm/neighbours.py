@@ -32,10 +32,9 @@ from corvine.session import materialize, prepare
 TRAIN_ROWS = 16_384
 PROBES = 24
 DEEP_PROBES = 48
-RERANK = 16
 LEAF_ROWS = 4_096
 LEAF_ROOT = 16
-SHARD_ROWS = 131_072
+SHARD_ROWS = 32_768
 VISIT_ROWS = 524_288
 BLOCK_ROWS = 4_096
 WHOLE = -1  # the leaf of a collection that is none but itself
@@ -214,7 +213,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dimensions:
             code = np.frombuffer(b"".join(t.column("code").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
             ids, norm, fit, leaf = (t.column(c).to_numpy() for c in ("id", "norm", "fit", "leaf"))
             x = _floats(t.column("unit").combine_chunks(), dimensions)
-            shard = Shard(q, ids, x, code, norm, fit, leaf, least)
+            shard = Shard(q, ids, x, code, norm, fit, leaf, least, k)
             deep = np.unique(leaf[(leaf >= 0) & (leaf % _DEEP < 256)] // _DEEP)
             asks = t.column("own").to_numpy() == t.column("salt").to_numpy()
             base.clear()
@@ -224,7 +223,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dimensions:
             for i in range(0, len(x), BLOCK_ROWS):
                 part = x[i : i + BLOCK_ROWS]
                 rows, leaves = _cells(q, part, deep) if shard.names[0] != WHOLE else (np.arange(len(part)), np.full(len(part), WHOLE))
-                a, b, cosine, _ = shard.search(part, ids[i : i + BLOCK_ROWS], rows, leaves, RERANK)
+                a, b, cosine, _ = shard.search(part, ids[i : i + BLOCK_ROWS], rows, leaves)
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.string()), pa.array(ids[i : i + BLOCK_ROWS][a]), pa.array(b), pa.array(cosine)], names=["collection", "id", "neighbour", "similarity"])
 
         for batch in batches:

@@ -134,11 +134,27 @@ def test_quantiser_codes_better_than_its_first_book():
     code = few.encode(x[:3])
     decoded = few.decode(code)
     norm = np.linalg.norm(decoded, axis=1)
-    whole = Shard(few, np.arange(3), x[:3], code, norm, np.einsum("nd,nd->n", x[:3], decoded) / norm, np.full(3, n.WHOLE), -1.0)
-    a, b, c, scored = whole.search(x[:3], np.arange(3), np.arange(3), np.full(3, n.WHOLE), 5)
+    whole = Shard(few, np.arange(3), x[:3], code, norm, np.einsum("nd,nd->n", x[:3], decoded) / norm, np.full(3, n.WHOLE), -1.0, 2)
+    a, b, c, scored = whole.search(x[:3], np.arange(3), np.arange(3), np.full(3, n.WHOLE))
     assert len(a) == 6 and scored == 9
 
 
+def test_search_gives_the_k_best_however_many_come_close():
+    rng = np.random.default_rng(4)
+    x = (2 + 0.3 * rng.normal(size=(900, 16))).astype(np.float32)  # all of them similar to each other
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = Quantiser.train(x, books=4, entries=16)
+    code = q.encode(x)
+    decoded = q.decode(code)
+    norm = np.linalg.norm(decoded, axis=1)
+    shard = Shard(q, np.arange(900), x, code, norm, np.einsum("nd,nd->n", x, decoded) / norm, np.full(900, n.WHOLE), 0.5, 4)
+    a, b, c, _ = shard.search(x, np.arange(900), np.arange(900), np.full(900, n.WHOLE))
+    s = x.astype(np.float64) @ x.T.astype(np.float64)
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(900) for j in np.argsort(-s[i])[:4]}
+    assert len(a) < 1.05 * len(want) and len(want & set(zip(a.tolist(), b.tolist()))) >= 0.9 * len(want)
+
+
 def test_nearest_pairs_are_the_nearest_sums_of_two_entries():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 8)).astype(np.float32)
