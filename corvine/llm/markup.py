@@ -1,10 +1,16 @@
 """Markup residue in text: HTML, Markdown, wiki and LaTeX notation turned into clean text that keeps its structure.
 
-A text is read into nodes, each with the root-to-leaf path of the marks around it (``div/p``, ``ul/li/strong``, ``heading``,
-``table/cell``, ``script`` ...). Over all texts the length and the punctuation of the text below each path are summed;
-their ratios to the number of nodes are smoothed along the order in which paths follow each other, fused, and compared with
-a threshold, which selects the paths of content. Headings, list items, code, formulas and table cells are kept in any case
-as what they are; markup of other paths that falls below the threshold is dropped.
+A text is read into nodes, each with the whole root-to-leaf path of the marks around it (``body/nav/ul/li/a``, ``heading``,
+``table/cell``, ``script`` ...). Marks within a line (``strong``, ``a``, ``bold`` ...) belong to the block around them, so
+blocks are what is judged: over all texts, number of blocks, length of text and punctuation below each path are summed. The
+ratios of a path are smoothed over the paths beside it in the same container (``nav``, ``article``, ``div`` ...), in the
+order in which they follow each other, then fused and compared with a threshold: mean less ``SPREAD`` standard deviations
+of all paths. A path below it is poor, and nothing below it is content; all else is. Text outside of any mark is content;
+scripts, comments and the like never are. All of this is DataFrame work over path rows, without a bound on their number;
+poor paths are broadcast up to ``BROADCAST_BYTES`` and joined to the texts that hold them beyond that.
+
+A record is marked if the text of its content that stands outside of all marks isn't its whole text, white space aside.
+Nodes deeper than ``DEEPEST`` open elements stay at that depth, as in browsers.
 
 Null and empty texts give an empty clean text and no notation. Rows of the same id and text are one record.
 """
@@ -17,17 +23,17 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.session import prepare
+from corvine.session import materialize, prepare
 
 PROSE = ("md", "markdown", "txt", "html", "htm", "wiki", "tex")
-DEPTH = 4  # a path keeps its last so many marks
-MOST_PATHS = 5_000  # a bound on what the driver smooths; paths beyond it, the ones with least text, are kept
-SPREAD = 0.3  # the threshold, in standard deviations of the fused ratio
+DEEPEST = 512
+SPREAD = 0.8
+BESIDE = 2  # paths on either side that a path is smoothed over
+BROADCAST_BYTES = 4 << 20
 
 # The names of HTML elements, and of the tags that wiki texts add.
 TAGS = """a abbr address area article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code
@@ -39,7 +45,9 @@ time title tr track tt u ul var video wbr
 math nowiki ref references gallery syntaxhighlight noinclude includeonly onlyinclude poem""".split()
 VOID = set("area base br col embed frame hr img input link meta param source track wbr".split())
 DROPPED = ("script", "style", "comment", "doctype", "link_target", "label", "meta", "head", "noscript", "template", "ref")
-KEPT = ("heading", "item", "code", "formula", "cell", "quote")
+CONTAINERS = set("body main article section nav aside header footer div form dialog search menu".split())
+INLINE = set("""a abbr b bdi bdo big button cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup
+time tt u var wbr bold italic wikibold link reflink wikilink extlink autolink image command footnote magic formula math nowiki""".split())
 
 _TAG = r"</?(?:" + "|".join(sorted(TAGS, key=len, reverse=True)) + r")(?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?\s*/?>"
 _INLINE = re.compile(
@@ -110,6 +118,7 @@ class Reader:
         self.nodes: list[Node] = []
         self.notation = 0
         self.stack: list[str] = []  # HTML elements that are open
+        self.paths: list[str] = [""]  # the path to each of them
         self.inside: list[tuple[str, int]] = [("paragraph", 0)]  # kind and level within each of them, the text's own first
         self.open: dict[str, int] = defaultdict(int)
         self.block = 0
@@ -117,7 +126,7 @@ class Reader:
             self._blocks(text)
 
     def _add(self, marks: list[str], text: str, kind: str, level: int = 0) -> None:
-        path = "/".join([*self.stack[-DEPTH:], *marks][-DEPTH:]) or "text"
+        path = "/".join([self.paths[-1], *marks] if self.paths[-1] else marks) or "text"
         self.nodes.append(Node(path, text, kind, level, self.block))
 
     def _blocks(self, text: str) -> None:
@@ -277,7 +286,10 @@ class Reader:
                 self._close()  # its end tag may be left out
             heading = re.fullmatch(r"h([1-6])", name)
             own = ("heading", int(heading[1])) if heading else _KINDS.get(name)
+            if len(self.stack) >= DEEPEST:
+                self._close()
             self.stack.append(name)
+            self.paths.append(f"{self.paths[-1]}/{name}" if self.paths[-1] else name)
             self.inside.append(own or self.inside[-1])
             self.open[name] += 1
         if name in _BLOCKS:
@@ -286,6 +298,7 @@ class Reader:
 
     def _close(self) -> str:
         name = self.stack.pop()
+        self.paths.pop()
         self.inside.pop()
         self.open[name] -= 1
         return name
@@ -322,21 +335,42 @@ def _unescaped(text: str) -> str:
     return re.sub(r"\\([%&_#${}])", r"\1", text)
 
 
-def _is_dropped(path: str) -> bool:
-    return any(p in DROPPED for p in path.split("/"))
+def _judged(path: str) -> str | None:
+    """The path of the block that a node belongs to; empty outside of all marks, None for what is never content."""
+    marks = path.split("/")
+    if not set(marks).isdisjoint(DROPPED):
+        return None
+    while marks and marks[-1] in INLINE:
+        marks.pop()
+    return "" if marks == ["text"] else "/".join(marks)
 
 
-def _is_kept(path: str) -> bool:
-    return path == "text" or any(p in KEPT for p in path.split("/")[-2:])
+def _container(path: str) -> str:
+    """The path to the innermost container around a block."""
+    marks = path.split("/")
+    last = max((i for i, m in enumerate(marks) if m in CONTAINERS), default=-1)
+    return "/".join(marks[: last + 1])
 
 
-def clean(reader: Reader, content: set[str] | None) -> tuple[str, list[dict]]:
-    """The clean text, and its blocks with kind and level. ``content`` has the selected paths; None selects all."""
+def content(reader: Reader, poor: set[str] | frozenset[str] = frozenset()) -> list[Node]:
+    """The nodes below paths of content."""
+    known: dict[str, bool] = {}
+    for path in {node.path for node in reader.nodes}:
+        block = _judged(path)
+        known[path] = block is not None and block not in poor
+    return [node for node in reader.nodes if known[node.path]]
+
+
+def is_marked(text: str | None, nodes: list[Node]) -> bool:
+    """Whether the content outside of all marks isn't the whole text, white space aside."""
+    return bool(text) and "".join("".join(n.text for n in nodes if n.path == "text").split()) != "".join(text.split())
+
+
+def clean(nodes: list[Node]) -> tuple[str, list[dict]]:
+    """The clean text of nodes of content, and its blocks with kind and level."""
     blocks: list[dict] = []
     last = -1
-    for node in reader.nodes:
-        if not (_is_kept(node.path) or (not _is_dropped(node.path) and (content is None or node.path in content))):
-            continue
+    for node in nodes:
         kind = "code" if node.path.endswith("/code") and node.kind == "code" else node.kind
         if kind in ("item", "quote", "heading", "code", "formula", "paragraph", "cell") and node.block == last and blocks and blocks[-1]["kind"] == kind:
             blocks[-1]["text"] += (" | " if kind == "cell" else "") + node.text
@@ -357,72 +391,96 @@ def notation(text: str | None) -> int:
 
 
 def _path_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0.0])
+    sums: dict[str, list[float]] = {}
+
+    def rows() -> pa.RecordBatch:
+        columns = list(zip(*sums.values())) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([_container(p) for p in sums], pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["path", "container", "blocks", "chars", "marks", "place"])
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            nodes = Reader(text).nodes
+            nodes, last = Reader(text).nodes, None
+            of = {path: _judged(path) for path in {node.path for node in nodes}}
             for i, node in enumerate(nodes):
-                s = sums[node.path]
-                s[0] += 1
-                s[1] += len(node.text)
+                if not (path := of[node.path]) or not node.text.strip():
+                    continue
+                s = sums.setdefault(path, [0, 0, 0, 0.0])
+                if (path, node.block) != last:
+                    s[0] += 1
+                    s[3] += i / len(nodes)
+                    last = (path, node.block)
+                s[1] += len(node.text.strip())
                 s[2] += len(_PUNCTUATION.findall(node.text))
-                s[3] += i / len(nodes)
-    columns = list(zip(*sums.values())) or [[]] * 4
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64())))], names=["path", "nodes", "chars", "marks", "place"])
+        if len(sums) > 100_000:
+            yield rows()
+            sums.clear()
+    yield rows()
 
 
 def path_statistics(texts: DataFrame, column: str) -> DataFrame:
-    """(path, nodes, chars, marks, place) over all texts: how often a path occurs, text and punctuation below it, mean place."""
+    """(path, container, blocks, chars, marks, place) over all texts: how many blocks a path has, text and punctuation below it, mean place."""
     prepare(texts.sparkSession)
-    rows = texts.select(column).mapInArrow(_path_rows, "path string, nodes long, chars long, marks long, place double")
-    return rows.groupBy("path").agg(*(F.sum(c).alias(c) for c in ("nodes", "chars", "marks")), (F.sum("place") / F.sum("nodes")).alias("place"))
+    rows = texts.select(column).mapInArrow(_path_rows, "path string, container string, blocks long, chars long, marks long, place double")
+    return rows.groupBy("path", "container").agg(*(F.sum(c).alias(c) for c in ("blocks", "chars", "marks")), (F.sum("place") / F.sum("blocks")).alias("place"))
 
 
-def select_paths(rows: list[tuple[str, int, int, int, float]], spread: float = SPREAD) -> set[str]:
-    """The content paths: text ratio and punctuation ratio, each smoothed along the paths' order, multiplied, thresholded."""
-    rows = sorted((r for r in rows if not _is_kept(r[0]) and not _is_dropped(r[0])), key=lambda r: (r[4], r[0]))
-    if not rows:
-        return set()
-    nodes, chars, marks = (np.array([r[i] for r in rows], dtype=float) for i in (1, 2, 3))
-    kernel = np.exp(-0.5 * np.arange(-1, 2) ** 2)
+def poor_paths(statistics: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """(path) of the paths whose fused ratio is below the threshold.
+
+    Ratios are text and punctuation per block, smoothed over the paths beside a path in its container. A window holds the
+    different paths of one container, never rows of texts.
+    """
+    beside = Window.partitionBy("container").orderBy("place", "path").rowsBetween(-BESIDE, BESIDE)
+    blocks = F.sum("blocks").over(beside)
+    fused = F.log1p(F.sum("chars").over(beside) / blocks) * (1 + F.log1p(F.sum("marks").over(beside) / blocks))
+    rated = materialize(statistics.select("path", fused.alias("fused")), "paths")
+    mean, deviation = rated.agg(F.avg("fused"), F.stddev_pop("fused")).first()
+    return rated.where(F.col("fused") < (mean or 0.0) - spread * (deviation or 0.0)).select("path")
 
-    def smooth(x: np.ndarray) -> np.ndarray:
-        return np.convolve(x, kernel, "same") / np.convolve(np.ones(len(x)), kernel, "same")
 
-    fused = np.log1p(smooth(chars / nodes)) * (1 + np.log1p(smooth(marks / nodes)))
-    least = fused.mean() - 3 * spread * fused.std()
-    return {r[0] for r, f, c in zip(rows, fused, chars) if f >= least and c > 0}
+def _held_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [sorted({p for p in map(_judged, {node.path for node in Reader(text).nodes}) if p}) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.string()))], names=["row", "path"])
 
 
-def cleaned(records: DataFrame, text: str, title: str, key: str) -> DataFrame:
-    """(key, notation, clean_text, clean_title, blocks) of every record.
+def cleaned(records: DataFrame, text: str, title: str, key: str, spread: float | None = SPREAD) -> DataFrame:
+    """(key, marked, notation, clean_text, clean_title, blocks) of every record.
 
-    ``notation`` counts the pieces of markup in text and title. Ids of several texts come out once per text.
+    ``notation`` counts the pieces of markup in text and title. Ids of several texts come out once per text. Without a
+    ``spread`` no path is poor.
     """
     prepare(records.sparkSession)
-    rows = records.where(F.col(key).isNotNull()).select(key, text, title)
-    top = path_statistics(rows.where(F.col(text).isNotNull()), text).orderBy(F.desc("chars"), "path").limit(MOST_PATHS)
-    seen = [tuple(r) for r in top.select("path", "nodes", "chars", "marks", "place").collect()]
-    content, known = select_paths(seen), {r[0] for r in seen}
-
-    class Content(set):
-        def __contains__(self, path) -> bool:
-            return set.__contains__(self, path) or path not in known
-
-    kind = records.schema[key].dataType.simpleString()
-    held = Content(content)
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(title).alias("title"))
+    poor = None if spread is None else materialize(poor_paths(path_statistics(rows.where(F.col("text").isNotNull()), "text"), spread), "poor")
+    size = poor.agg(F.sum(F.octet_length("path"))).first()[0] or 0 if poor is not None else 0
+    everywhere = frozenset()
+    if size <= BROADCAST_BYTES:
+        everywhere = frozenset(r[0] for r in poor.toLocalIterator()) if size else everywhere
+        rows = rows.withColumn("poor", F.lit(None).cast("array<string>"))
+    else:
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        held = rows.where(F.col("text").isNotNull()).select("row", "text").mapInArrow(_held_paths, "row long, path array<string>")
+        found = held.select("row", F.explode("path").alias("path")).join(poor, "path", "left_semi").groupBy("row").agg(F.collect_set("path").alias("poor"))
+        rows = rows.join(found, "row", "left").select("key", "text", "title", "poor")
+    held_everywhere = records.sparkSession.sparkContext.broadcast(everywhere)  # at most BROADCAST_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, texts, titles, blocks = [], [], [], []
-            for body, head in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            marked, counts, texts, titles, blocks = [], [], [], [], []
+            for body, head, poor in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 reader, title_reader = Reader(body), Reader(head)
+                nodes, title_nodes = content(reader, poor or held_everywhere.value), content(title_reader)
+                marked.append(is_marked(body, nodes) or is_marked(head, title_nodes))
                 counts.append(reader.notation + title_reader.notation)
-                shown, parts = clean(reader, held)
+                shown, parts = clean(nodes)
                 texts.append(shown)
                 blocks.append(parts)
-                titles.append(clean(title_reader, None)[0])
+                titles.append(clean(title_nodes)[0])
             struct = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), pa.array(texts, pa.string()), pa.array(titles, pa.string()), pa.array(blocks, struct)], names=[key, "notation", "clean_text", "clean_title", "blocks"])
+            kinds = (pa.bool_(), pa.int32(), pa.string(), pa.string(), struct)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((marked, counts, texts, titles, blocks), kinds))], names=[key, "marked", "notation", "clean_text", "clean_title", "blocks"])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, notation int, clean_text string, clean_title string, blocks array<struct<kind: string, level: int, text: string>>")
+    kind = records.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{key}` {kind}, marked boolean, notation int, clean_text string, clean_title string, blocks array<struct<kind: string, level: int, text: string>>")

@@ -26,7 +26,7 @@ def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p2_clean(spark, sf).where("notation > 0").select("chunk_id").distinct()
+    return p2_clean(spark, sf).where("marked").select("chunk_id").distinct()
 
 
 def _tracked_vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,41 +19,64 @@ PLAIN = [
 
 @pytest.mark.parametrize("text", NOTATION)
 def test_notation_is_seen(text):
-    assert markup.notation("Words before.\n\n" + text + "\n\nWords after.") > 0
+    text = "Words before.\n\n" + text + "\n\nWords after."
+    assert markup.notation(text) > 0 and markup.is_marked(text, markup.content(markup.Reader(text)))
 
 
 @pytest.mark.parametrize("text", PLAIN)
 def test_plain_text_is_left_alone(text):
     reader = markup.Reader(text)
-    assert reader.notation == 0 and markup.clean(reader, None)[0] == (text or "")
+    nodes = markup.content(reader)
+    assert reader.notation == 0 and not markup.is_marked(text, nodes) and markup.clean(nodes)[0] == (text or "")
 
 
 def test_structure_is_kept():
     text = f"# A &amp; B\n\nSome **bold** `code` [link](u).\n\n- one\n- two\n\n{FENCE}py\nx = [1](2)\n{FENCE}\n\n$$\na_b\n$$\n\n| h | i |\n|---|---|\n| 1 | 2 |\n\n> said\n"
-    shown, blocks = markup.clean(markup.Reader(text), None)
+    shown, blocks = markup.clean(markup.content(markup.Reader(text)))
     assert [(b["kind"], b["text"]) for b in blocks] == [
         ("heading", "A & B"), ("paragraph", "Some bold code link."), ("item", "one"), ("item", "two"), ("code", "x = [1](2)"), ("formula", "a_b"), ("cell", "h | i"), ("cell", "1 | 2"), ("quote", "said"),
     ]
     assert "• one" in shown and "**" not in shown and "`" not in shown
-    shown, _ = markup.clean(markup.Reader("<h2>T</h2><p>a</p><script>var x=1;</script><ul><li>b<li>c</ul>"), None)
+    shown, _ = markup.clean(markup.content(markup.Reader("<h2>T</h2><p>a</p><script>var x=1;</script><ul><li>b<li>c</ul>")))
     assert shown == "T\n\na\n\n• b\n\n• c"
-    assert markup.clean(markup.Reader("\\section{T}\nx \\texttt{a\\_b} 5\\% \\label{l}"), None)[0] == "T\n\nx a_b 5%"
+    assert markup.clean(markup.content(markup.Reader("\\section{T}\nx \\texttt{a\\_b} 5\\% \\label{l}")))[0] == "T\n\nx a_b 5%"
 
 
 def test_cleaned_table(spark):
     rows = [(1, "# H\ntext", "# H", 0), (2, "plain", None, 0), (3, None, "▼ T", 0), (4, "", "", 0), (None, "# x", "", 0), (5, "<b>x</b> " * 20_000, None, 0)]
     df = spark.createDataFrame(rows, "id long, body string, title string, notation int")
     got = {r.id: r for r in markup.cleaned(df, "body", "title", "id").collect()}
-    assert {i: r.notation > 0 for i, r in got.items()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+    assert {i: r.notation > 0 for i, r in got.items()} == {i: r.marked for i, r in got.items()} == {1: True, 2: False, 3: True, 4: False, 5: True}
     assert got[1].clean_text == "H\n\ntext" and got[3].clean_title == "T" and got[3].clean_text == "" and "<" not in got[5].clean_text
     assert markup.cleaned(df.limit(0), "body", "title", "id").count() == 0
 
 
-def test_paths_with_little_text_are_dropped():
-    rows = [("div/p", 100, 9000, 300, 0.4), ("section/p", 80, 8000, 250, 0.5), ("nav/a", 400, 10, 0, 0.1), ("footer/a", 300, 6, 0, 0.15), ("header/a", 300, 3, 0, 0.05), ("script", 5, 999, 9, 0.9), ("heading", 5, 50, 0, 0.2)]
-    chosen = markup.select_paths(rows)
-    assert {"div/p", "section/p"} <= chosen and "header/a" not in chosen and "script" not in chosen
-    assert markup.select_paths([]) == set()
+def page(i):
+    menu = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "Docs", "Blog", f"Top{i % 9}"))
+    body = "".join(f"<h2>Part {j}</h2><p>The planner, in step {i}, keeps <b>each</b> lease short; it then waits, says so, and tries again.</p><ul><li>one lease, kept for {j} days</li></ul>" for j in range(3))
+    return f"<body><header><a>Acme</a></header><nav><ul>{menu}</ul></nav><main><div>{body}</div></main><footer><ul><li><a>Terms</a></li><li><a>Jobs</a></li></ul></footer></body>"
+
+
+def test_statistics_drop_menus_and_footers_and_keep_what_stands_beside_text(spark, monkeypatch):
+    df = spark.createDataFrame([(i, page(i), None) for i in range(40)] + [(90, "plain words, no marks", None)], "id long, body string, title string")
+    poor = {r.path for r in markup.poor_paths(markup.path_statistics(df, "body")).collect()}
+    assert {"body/header", "body/nav/ul/li", "body/footer/ul/li"} == poor
+    got = {r.id: r for r in markup.cleaned(df, "body", "title", "id").collect()}
+    without = {r.id: r for r in markup.cleaned(df, "body", "title", "id", None).collect()}
+    text = got[3].clean_text
+    assert "Home" not in text and "Terms" not in text and "Acme" not in text and "Part 1" in text and "• one lease" in text and "keeps each lease" in text
+    assert "Home" in without[3].clean_text and "Terms" in without[3].clean_text
+    assert got[3].marked and not got[90].marked and got[90].clean_text == "plain words, no marks"
+    monkeypatch.setattr(markup, "BROADCAST_BYTES", 3)  # poor paths are joined instead
+    assert {r.id: r.clean_text for r in markup.cleaned(df, "body", "title", "id").collect()} == {i: r.clean_text for i, r in got.items()}
+
+
+def test_paths_are_whole():
+    reader = markup.Reader("<body><nav><div><ul><li><a>x</a></li></ul></div></nav><main><div><ul><li><a>y</a></li></ul></div></main></body>")
+    assert [n.path for n in reader.nodes] == ["body/nav/div/ul/li/a", "body/main/div/ul/li/a"]
+    deep = markup.Reader("<div>a" * 2000)
+    assert len(deep.nodes) == 2000 and max(n.path.count("/") for n in deep.nodes) == markup.DEEPEST - 1
+    assert markup._judged("text") == "" and markup._judged("body/p/strong") == "body/p" and markup._judged("body/script") is None and markup._container("body/nav/ul/li") == "body/nav"
 
 
 WORDS = secrets.Segmenter({w: 50 for w in "planner broker secret token name key ranking probe run api login the and password storage header service user host internal example string rules characters names driver".split()})
@@ -262,7 +285,7 @@ def test_decision_without_close_calls_needs_no_rule(monkeypatch):
     assert provenance.decide(weights, [-0.25] * len(weights), "src/a.py", CODE) == ("vendored", False)
 
 
-HOSTILE = ["`a ``b ```c ", "[", "$a ", "*a ", "_a ", "{{", "\\[ ", "\\(", "<a x=\"", "'''a ", "\\a{", "**a ", "~~a ", "[a](b ", "<!-- ", "$$a ", "<div>", "<math>", "a1", "key = ", "http://a:b", "eyJaaaaaaaaaaaaa.", "a://", "a://b:", "password  ", "a:", "a-", " ", "-----BEGIN RSA PRIVATE KEY-----\n"]
+HOSTILE = ["`a ``b ```c ", "[", "$a ", "*a ", "_a ", "{{", "\\[ ", "\\(", "<a x=\"", "'''a ", "\\a{", "**a ", "~~a ", "[a](b ", "<!-- ", "$$a ", "<div>", "<div>a", "<math>", "a1", "key = ", "http://a:b", "eyJaaaaaaaaaaaaa.", "a://", "a://b:", "password  ", "a:", "a-", " ", "-----BEGIN RSA PRIVATE KEY-----\n"]
 
 
 @pytest.mark.parametrize("piece", HOSTILE)
@@ -271,7 +294,7 @@ def test_very_long_hostile_texts_take_linear_time(piece):
 
     text = piece * (120_000 // len(piece))
     began = time.perf_counter()
-    markup.clean(markup.Reader(text), None)
+    markup.clean(markup.content(markup.Reader(text)))
     secrets.redact(text, WORDS)
     provenance.rules("a.py", text)
     provenance.views("a.py", text)
