@@ -1,9 +1,9 @@
 """Processing only new or changed records.
 
 State is a table of key, content hash and modification time. The current rows are hashed, joined with the state, and the
-new or changed ones come out; a commit writes the next state version beside the old one and then swaps a pointer file in
-one atomic rename. A run that dies before the swap leaves the old version in force, so its rows come out again; one that
-dies after it has committed them, so they don't.
+new or changed ones come out. A commit writes just what changed, as one more part, and then creates the next numbered
+version file, which fails if another run created it first. A run that dies before that leaves the old version in force, so
+its rows come out again; one that dies after it has committed them, so they don't.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.sources.snapshots import Pointer
+from corvine.sources.snapshots import Pointer, mergeable
 
 
-def newest_versions(rows: DataFrame, key: str = "file_path", version: str = "modified_at", hash_col: str = "content_hash") -> DataFrame:
+def newest_versions(rows: DataFrame, key: str = "file_path", version: str = "modified_at", hash_col: str = "content_hash", content: str | None = None) -> DataFrame:
     """One row per key: that with the greatest version.
 
+    Where the hash is null and the rows hold their ``content``, it is hashed (SHA-256).
+
     Rows with a null key are no records and are left out; a null version is older than any other. Equal versions are
     settled by the greater hash, a null hash last, so repeated rows and ties give one defined row.
     """
-    newest = F.max(F.struct(F.col(version).alias("v"), F.lower(hash_col).alias("h")))  # a null field sorts lowest
+    newest = F.max(F.struct(F.col(version).alias("v"), (F.lower(hash_col) if content is None else F.coalesce(F.lower(hash_col), F.sha2(content, 256))).alias("h")))  # a null field sorts lowest
     return (
         rows.where(F.col(key).isNotNull())
         .groupBy(F.col(key).alias("key"))
@@ -68,20 +70,32 @@ def changed(current: DataFrame, state: DataFrame) -> DataFrame:
 
 
 class StateStore:
-    """Versions of the state in ``root``: ``v-<n>-<id>/`` holds rows, the file ``CURRENT`` names the version in force."""
+    """Versions of the state in ``root``: parts of rows, and numbered files in ``versions`` that list the parts in force.
+
+    Of several rows of a key that of the latest commit counts; ``gone`` says that it took the key away. Parts are merged by
+    tiers of their size, as in ``Snapshots``, so a small commit writes little whatever the state's size.
+    """
 
     SCHEMA = "key string, version long, hash string"
+    FAN = 8
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._current = Pointer(spark, f"{self.root}/CURRENT")
+        self._versions = Pointer(spark, f"{self.root}/versions")
 
     def pointer(self) -> dict | None:
-        return self._current.read()
+        return self._versions.read()
+
+    def _newest(self, parts: list[list]) -> DataFrame:
+        rows = self.spark.read.schema(self.SCHEMA + ", at long, gone boolean").parquet(*[f"{self.root}/{p}" for p, _ in parts])
+        if len(parts) == 1:
+            return rows  # has a key once
+        newest = F.max_by(F.struct("version", "hash", "at", "gone"), "at")
+        return rows.groupBy("key").agg(newest.alias("n")).select("key", "n.*")
 
     def state(self) -> DataFrame:
         now = self.pointer()
-        return self.spark.read.parquet(f"{self.root}/{now['dir']}") if now else self.spark.createDataFrame([], self.SCHEMA)
+        return self._newest(now["parts"]).where("NOT gone").select("key", "version", "hash") if now else self.spark.createDataFrame([], self.SCHEMA)
 
     def changes(self, current: DataFrame) -> DataFrame:
         return changed(current, self.state())
@@ -89,20 +103,27 @@ class StateStore:
     def commit(self, processed: DataFrame, gone: DataFrame | None = None) -> int:
         """Put ``processed`` (key, version, hash) in the state and drop the keys of ``gone``; the new version's number.
 
-        Another commit since this one began makes it fail, so that no run's rows get lost.
+        Another commit since this one began makes it fail with a RuntimeError, so that no run's rows get lost. Keys are
+        taken once; one that is in both is kept.
         """
-        before = self.pointer()
-        n = (before["version"] if before else 0) + 1
-        rows = processed.select("key", "version", "hash").dropDuplicates(["key"])
-        kept = self.state().join(rows, "key", "left_anti")
+        before = self.pointer() or {"version": 0, "parts": []}
+        n = before["version"] + 1
+        rows = processed.select("key", "version", "hash", F.lit(False).alias("gone"))
         if gone is not None:
-            kept = kept.join(gone.select("key"), "key", "left_anti")
-        name = f"v-{n}-{uuid.uuid4().hex}"
-        kept.unionByName(rows).write.parquet(f"{self.root}/{name}")
-        if self.pointer() != before:
-            raise RuntimeError("another run committed meanwhile")
-        self._swap({"version": n, "dir": name})
+            rows = rows.unionByName(gone.select("key", F.lit(None).cast("long").alias("version"), F.lit(None).cast("string").alias("hash"), F.lit(True).alias("gone")))
+        one = F.max(F.struct((~F.col("gone")).alias("kept"), "version", "hash", "gone"))
+        delta = rows.groupBy("key").agg(one.alias("n")).select("key", "n.version", "n.hash", F.lit(n).cast("long").alias("at"), "n.gone")
+        parts = [*before["parts"], self._write(delta, n)]
+        if small := mergeable([r for _, r in parts], self.FAN):
+            merged = self._newest(parts[-small:])
+            parts[-small:] = [self._write(merged if small < len(parts) else merged.where("NOT gone"), n)]
+        self._swap({"version": n, "parts": parts})
         return n
 
+    def _write(self, rows: DataFrame, n: int) -> list:
+        name = f"v-{n}-{uuid.uuid4().hex}"
+        rows.select("key", "version", "hash", "at", "gone").write.parquet(f"{self.root}/{name}")
+        return [name, self.spark.read.parquet(f"{self.root}/{name}").count()]  # from the footers
+
     def _swap(self, pointer: dict) -> None:
-        self._current.swap(pointer)
+        self._versions.create(pointer)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.operators import incremental, orphans
-from corvine.session import table
+from corvine.session import scratch_path, table
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    state = incremental.committed_from_log(table(spark, sf, "indexed_files"), table(spark, sf, "sync_runs"))
-    return incremental.changed(incremental.newest_versions(table(spark, sf, "files")), state).select(F.col("key").alias("file_path"))
+    """The log of runs becomes the first version of a state, and the current files are compared with what is in force."""
+    state = incremental.StateStore(spark, scratch_path(spark, "state", keep=False))
+    state.commit(incremental.committed_from_log(table(spark, sf, "indexed_files"), table(spark, sf, "sync_runs")))
+    return state.changes(incremental.newest_versions(table(spark, sf, "files"))).select(F.col("key").alias("file_path"))
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:

@@ -45,9 +45,15 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/corvine/{name}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str, keep: bool = True) -> str:
+    """A fresh path in the shared folder; gone when the session's JVM ends unless kept."""
+    at = f"{shared_dir(spark)}/corvine/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)  # else there is nothing to be marked
+        fs.deleteOnExit(path)
+    return at
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

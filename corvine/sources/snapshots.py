@@ -1,15 +1,22 @@
-"""Versioned tables: rows are written beside the old ones, and a pointer file is swapped in one atomic rename."""
+"""Versioned tables: rows are written beside the old ones, and a commit creates the next numbered version file."""
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvine.session import local_file
+
 
 class Pointer:
-    """A small JSON file on any Hadoop file system that is replaced atomically."""
+    """Small JSON files on any Hadoop file system, numbered from 1, of which the greatest is in force.
+
+    A version is written aside and moved to its name only if no file has that name: a hard link on a local file system, a
+    rename that doesn't overwrite elsewhere. Of several runs that commit the same version one succeeds, whenever they look.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -20,41 +27,91 @@ class Pointer:
     def _at(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
 
-    def read(self) -> dict | None:
+    def _versions(self) -> list[int]:
         at = self._at(self.path)
-        if not self._fs.exists(at):
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _file(self, version: int) -> str:
+        return f"{self.path}/{version:020}.json"
+
+    def read(self) -> dict | None:
+        versions = self._versions()
+        if not versions:
             return None
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._at(self._file(versions[-1])))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def swap(self, value: dict) -> None:
-        temporary = self._at(f"{self.path}-{uuid.uuid4().hex}")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps(value).encode()))
+    def create(self, value: dict) -> None:
+        """Put ``value`` in force as the version it names; RuntimeError if another run did so first."""
+        data, name = json.dumps(value).encode(), f"{self.path}/{uuid.uuid4().hex}.tmp"
+        if here := local_file(self.path):
+            os.makedirs(here, exist_ok=True)
+            aside = local_file(name)
+            with open(aside, "wb") as f:
+                f.write(data)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(aside, local_file(self._file(value["version"])))
+            except FileExistsError:
+                raise RuntimeError("another run committed meanwhile") from None
+            finally:
+                os.unlink(aside)
+            return
+        self._fs.mkdirs(self._at(self.path))
+        out = self._fs.create(self._at(name), True)
+        out.write(bytearray(data))
         out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self._conf)
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(temporary, self._at(self.path), options)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(self.path).toUri(), self._conf)
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(self._at(name), self._at(self._file(value["version"])), options)
+        except Exception as e:
+            self._fs.delete(self._at(name), False)
+            if self._fs.exists(self._at(self._file(value["version"]))):
+                raise RuntimeError("another run committed meanwhile") from e
+            raise
+
+    def forget(self) -> None:
+        """Remove the files of versions that are no longer in force."""
+        for version in self._versions()[:-1]:
+            self._fs.delete(self._at(self._file(version)), False)
 
     def remove(self, path: str) -> None:
         self._fs.delete(self._at(path), True)
 
 
+def mergeable(rows: list[int], fan: int) -> int:
+    """How many parts at the end of a list should be made one: those up to the ``fan``-th of one tier, none of a higher tier among them.
+
+    A tier holds sizes that differ eightfold at most; a large part stays as it is until there are ``fan`` of its tier.
+    """
+    tiers = [max(r, 1).bit_length() // 3 for r in rows]
+    for tier in sorted(set(tiers)):
+        n = 0
+        while n < len(tiers) and tiers[-1 - n] <= tier:
+            n += 1
+        if tiers[len(tiers) - n :].count(tier) >= fan:
+            return n
+    return 0
+
+
 class Snapshots:
     """Several tables under one pointer, so that a commit shows all of its changes at once or none.
 
     A table is a list of parts, which only grows by what a commit adds, and a list of keys that are gone; neither is ever
     rewritten by a commit, so a small change of a large table costs little. Keys aren't used again, so a key that is gone
-    is gone from all parts. Once a table has more than ``MOST_PARTS`` of either, the next commit that touches it writes it
-    anew in one part. What no pointer names any more is removed by ``vacuum``.
+    is gone from all parts. Parts are of tiers by their number of rows; once ``FAN`` parts of a tier or below end a list,
+    the commit makes one part of them, so a row is rewritten only as often as the list's size grows ``FAN``-fold. What no
+    pointer names any more is removed by ``vacuum``.
     """
 
-    MOST_PARTS = 32
+    FAN = 8
 
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, str]):
         """``keys`` names the column by which rows of a table go."""
@@ -74,12 +131,15 @@ class Snapshots:
     def _read(self, name: str, lists: dict) -> DataFrame:
         if not lists["parts"]:
             return self.spark.createDataFrame([], self.schemas[name])
-        rows = self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.root}/{p}" for p in lists["parts"]])
+        rows = self._rows(name, lists["parts"], self.schemas[name])
         if not lists["gone"]:
             return rows
-        gone = self.spark.read.schema(f"{self.keys[name]} long").parquet(*[f"{self.root}/{p}" for p in lists["gone"]])
+        gone = self._rows(name, lists["gone"], f"{self.keys[name]} long")
         return rows.join(gone, self.keys[name], "left_anti").select(*rows.columns)
 
+    def _rows(self, name: str, parts: list[list], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p, _ in parts])
+
     def next_id(self, name: str) -> int:
         """The first id that was never given out: ids aren't used again, also after deletions."""
         return self._now()["next_id"].get(name, 1)
@@ -90,10 +150,10 @@ class Snapshots:
         n = before["version"] + 1
         tables = {name: {k: list(v) for k, v in lists.items()} for name, lists in before["tables"].items()}
 
-        def write(df: DataFrame, name: str, kind: str) -> str:
+        def write(df: DataFrame, name: str, kind: str) -> list:
             at = f"{name}/{kind}-v{n}-{uuid.uuid4().hex[:12]}"
             df.write.parquet(f"{self.root}/{at}")
-            return at
+            return [at, self.spark.read.parquet(f"{self.root}/{at}").count()]  # from the footers
 
         for name, df in (replace or {}).items():
             tables[name] = {"parts": [write(df, name, "part")], "gone": []}
@@ -102,16 +162,20 @@ class Snapshots:
                 lists = tables.setdefault(name, {"parts": [], "gone": []})
                 lists[kind].append(write(df, name, kind.removesuffix("s")))
         for name in {*(append or {}), *(gone or {})}:
-            if max(map(len, tables[name].values())) > self.MOST_PARTS:
-                tables[name] = {"parts": [write(self._read(name, tables[name]), name, "part")], "gone": []}
-        if self._now() != before:
-            raise RuntimeError("another run committed meanwhile")
-        self.pointer.swap({"version": n, "tables": tables, "next_id": before["next_id"] | (next_ids or {})})
+            lists = tables[name]
+            for kind, schema in (("parts", self.schemas[name]), ("gone", f"{self.keys[name]} long")):
+                if small := mergeable([rows for _, rows in lists[kind]], self.FAN):
+                    if kind == "parts" and small == len(lists[kind]):  # all of the table, so nothing need be known as gone
+                        tables[name] = lists = {"parts": [write(self._read(name, lists), name, "part")], "gone": []}
+                        break
+                    lists[kind][-small:] = [write(self._rows(name, lists[kind][-small:], schema), name, kind.removesuffix("s"))]
+        self.pointer.create({"version": n, "tables": tables, "next_id": before["next_id"] | (next_ids or {})})
         return n
 
     def vacuum(self) -> None:
         """Remove what no pointer names; not while others still read an old version."""
-        kept = {p for lists in self._now()["tables"].values() for own in lists.values() for p in own}
+        self.pointer.forget()
+        kept = {p for lists in self._now()["tables"].values() for own in lists.values() for p, _ in own}
         fs = self.pointer._fs
         for name in self.schemas:
             at = self.pointer._at(f"{self.root}/{name}")

@@ -22,7 +22,7 @@ from corvine.operators import catalog, chunking, fulltext, fusion, sync, vectors
 from corvine.operators.identifiers import allocated
 from corvine.session import materialize
 from corvine.sources.config import DEFAULT, Config
-from corvine.sources.filetree import read_tree
+from corvine.sources.filetree import read_listed, read_tree
 from corvine.sources.snapshots import Snapshots
 
 MARKER = ".corvine"
@@ -92,11 +92,24 @@ class Workspace:
     def _sync(self, name: str, prune: bool, verify_hash: bool) -> SyncResult:
         own = self.config.collection(name)
         prefix = "" if own.path in (".", "") else own.path.strip("/") + "/"
-        scanned = read_tree(self.spark, str(self.root / own.path), own.filter(), prefix=prefix)
-        scanned = scanned.withColumn("parser", routing.parser_of(F.col("file_path"), own.parsers)).where(F.col("parser").isin(*chunking.PARSERS))
-        scan = materialize(scanned, "scan")
+        folder = str(self.root / own.path)
+        listed = read_tree(self.spark, folder, own.filter(), prefix=prefix, listing=True, errors=True)
+        listed = materialize(listed.withColumn("parser", routing.parser_of(F.col("file_path"), own.parsers)), "listed")
         files, documents, chunks = (self.tables.read(t) for t in ("files", "documents", "chunks"))
         stored = self._files_of(name)
+        # files of the same time and size aren't opened
+        wanted = listed.where(F.col("error").isNull() & F.col("parser").isin(*chunking.PARSERS)).select("file_path", "size", "modified_at", "parser")
+        known_as = stored.select("file_path", "size", "modified_at", F.col("content_hash").alias("_hash"), F.col("filename").alias("_name")).dropDuplicates(["file_path"])
+        same = None if verify_hash else wanted.join(known_as, ["file_path", "size", "modified_at"]).where("_hash IS NOT NULL")
+        read = read_listed(wanted if same is None else wanted.join(same, "file_path", "left_anti"), folder, prefix).join(wanted.select("file_path", "parser"), "file_path")
+        columns = ["file_path", "filename", "size", "modified_at", "content_hash", "content", "error", "parser"]
+        if same is not None:
+            text = F.lit(None).cast("string")
+            read = read.select(*columns).unionByName(same.select("file_path", F.col("_name").alias("filename"), "size", "modified_at", F.col("_hash").alias("content_hash"), text.alias("content"), text.alias("error"), "parser"))
+        scan = materialize(read.select(*columns), "scan")
+        for r in listed.where("error IS NOT NULL").select("file_path", "error").unionByName(scan.where("error IS NOT NULL").select("file_path", "error")).limit(20).toLocalIterator():
+            log.warning("not read: %s: %s", r.file_path, r.error)
+        scan = scan.where("error IS NULL").drop("error")
         states = materialize(sync.states(scan.select("file_path", "modified_at", "content_hash"), stored.select("file_path", "modified_at", "content_hash"), verify_hash, prune), "states")
         result = SyncResult(**sync.tallies(states).first().asDict())
 

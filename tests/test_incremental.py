@@ -51,13 +51,45 @@ def test_state_store_survives_a_failure_before_the_swap(spark, tmp_path, monkeyp
 
 
 def test_two_runs_cannot_both_commit(spark, tmp_path, monkeypatch):
-    store = incremental.StateStore(spark, f"file://{tmp_path}/state")
-    rows = spark.createDataFrame([("a", 1, "x")], store.SCHEMA)
-    seen = iter([None, {"version": 1, "dir": "other"}])
-    monkeypatch.setattr(store, "state", lambda: rows.limit(0))
-    monkeypatch.setattr(store, "pointer", lambda: next(seen))
+    one, two = (incremental.StateStore(spark, f"file://{tmp_path}/state") for _ in range(2))
+    rows = lambda *keys: spark.createDataFrame([(k, 1, "x") for k in keys], one.SCHEMA)
+    assert one.commit(rows("a")) == 1
+    stale = two.pointer()
+    assert one.commit(rows("b")) == 2
+    monkeypatch.setattr(two, "pointer", lambda: stale)  # looked before the other committed, commits after it
     with pytest.raises(RuntimeError):
-        store.commit(rows)
+        two.commit(rows("c"))
+    monkeypatch.undo()
+    assert sorted(r.key for r in two.state().collect()) == ["a", "b"] and two.commit(rows("c")) == 3
+    assert sorted(r.key for r in one.state().collect()) == ["a", "b", "c"]
+
+
+def test_small_commits_write_little_and_parts_merge_by_tiers(spark, tmp_path, monkeypatch):
+    store = incremental.StateStore(spark, f"file://{tmp_path}/state")
+    monkeypatch.setattr(store, "FAN", 3)
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "state").rglob("*.parquet"))
+    store.commit(spark.range(100_000).selectExpr("concat('k', id) AS key", "id AS version", "sha2(string(id), 256) AS hash"))
+    before = size()
+    store.commit(spark.createDataFrame([("k1", 7, "new"), ("z", 1, None)], store.SCHEMA), spark.createDataFrame([("k2",)], "key string"))
+    assert size() - before < 0.01 * before
+    for i in range(4):
+        store.commit(spark.createDataFrame([(f"y{i}", i, "h")], store.SCHEMA))
+    parts = store.pointer()["parts"]
+    assert parts[0][1] == 100_000 and len(parts) <= 4 and size() - before < 0.02 * before
+    got = {r.key: (r.version, r.hash) for r in store.state().where("key IN ('k1', 'k2', 'z', 'y3')").collect()}
+    assert got == {"k1": (7, "new"), "z": (1, None), "y3": (3, "h")} and store.state().count() == 100_000 - 1 + 1 + 4
+
+
+def test_tiers():
+    from corvine.sources.snapshots import mergeable
+
+    assert mergeable([10**9] + [1] * 7, 8) == 0 and mergeable([10**9] + [1] * 8, 8) == 8 and mergeable([10**9, 64, 1, 64], 2) == 3 and mergeable([], 8) == 0
+
+
+def test_missing_hashes_are_made_of_the_content(spark):
+    rows = spark.createDataFrame([("a", 1, None, "hello world"), ("b", 1, "AB", "x"), ("c", 1, None, None)], "file_path string, modified_at long, content_hash string, body string")
+    got = {r.key: r.hash for r in incremental.newest_versions(rows, content="body").collect()}
+    assert got == {"a": "b94d27b9934d3e08a52e52d7da7dabfac484efe37a5380ee9088f7ace2efcde9", "b": "ab", "c": None}
 
 
 @pytest.mark.parametrize("places", [[], [0], [65535], list(range(0, 65536, 3)), list(range(100))])

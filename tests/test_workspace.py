@@ -115,7 +115,7 @@ def test_pages(spark):
 def test_snapshots_add_parts_and_let_keys_go(spark, tmp_path, monkeypatch):
     from corvine.sources.snapshots import Snapshots
 
-    monkeypatch.setattr(Snapshots, "MOST_PARTS", 3)
+    monkeypatch.setattr(Snapshots, "FAN", 3)
     rows = lambda *ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, t string")
     keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
     s = Snapshots(spark, f"file://{tmp_path}/s", {"a": "id long, t string", "b": "id long, t string"}, {"a": "id", "b": "id"})
@@ -128,9 +128,38 @@ def test_snapshots_add_parts_and_let_keys_go(spark, tmp_path, monkeypatch):
         s.commit(append={"a": rows(i)}, gone={"a": keys(i - 1)})
     assert ids("a") == [2, 8] and len(s._now()["tables"]["a"]["parts"]) <= 3
     with monkeypatch.context() as m:
-        m.setattr(s.pointer, "swap", lambda value: (_ for _ in ()).throw(OSError("killed")))
+        m.setattr(s.pointer, "create", lambda value: (_ for _ in ()).throw(OSError("killed")))
         with pytest.raises(OSError):
             s.commit(replace={"a": rows(77)}, gone={"b": keys(9)})
     assert ids("a") == [2, 8] and ids("b") == [9]
     s.vacuum()
     assert ids("a") == [2, 8] and len(list((tmp_path / "s" / "a").iterdir())) <= 6
+
+
+def test_unchanged_files_are_not_opened_again(spark, tmp_path):
+    import os
+
+    put(tmp_path, **{"docs__a.md": "shared words", "docs__b.md": "other words"})
+    ws = Workspace(spark, tmp_path).init()
+    Config({"docs": Collection(path="docs")}).save(ws.home / "config.yml")
+    assert ws.sync("docs").added == 2
+    a = tmp_path / "docs" / "a.md"
+    was = a.stat()
+    a.write_text("SHARED WORDS")  # another text of the same size and time: only who opens the file sees it
+    os.utime(a, ns=(was.st_atime_ns, was.st_mtime_ns))
+    assert ws.sync("docs") == SyncResult(unchanged=2)
+    assert ws.sync("docs", verify_hash=True) == SyncResult(unchanged=1, modified=1)
+
+
+def test_walk_errors_are_rows(spark, tmp_path):
+    from corvine.functions.globs import FileFilter
+    from corvine.sources.filetree import read_tree
+
+    put(tmp_path, **{"docs__a.md": "words"})
+    (tmp_path / "docs" / "x.md").symlink_to(tmp_path / "nowhere.md")
+    rules = FileFilter([], ["**/*.md"], [])
+    got = {r.file_path: r for r in read_tree(spark, str(tmp_path), rules, errors=True).collect()}
+    assert got["docs/x.md"].error and got["docs/x.md"].size is None and got["docs/a.md"].error is None and got["docs/a.md"].content == "words"
+    assert [r.file_path for r in read_tree(spark, str(tmp_path), rules).collect()] == ["docs/a.md"]
+    assert [(r.file_path, r.size, r.content_hash) for r in read_tree(spark, str(tmp_path), rules, listing=True).collect()] == [("docs/a.md", 5, None)]
+    assert read_tree(spark, str(tmp_path / "none"), rules, errors=True).first().error
