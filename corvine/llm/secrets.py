@@ -74,13 +74,25 @@ _PEM_BODY = re.compile(r"^(?P<lead>\s*(?://|/\*|#|--|;|%|\*|>|\|)*\s*[\"'`]?)(?P
 # What a text and a line must hold to be read at all: a name that counts as a credential's, which may stand in two parts
 # (``pass_code``), or what another rule begins with.
 _NAMES = sorted(n for n in PASSWORDS | KEYS if not any(m != n and m in n for m in PASSWORDS | KEYS))
-_TRIGGER = re.compile("(?i)" + "|".join([r"(?:[^\W0-9A-Za-z]|[.\-])*".join(n) for n in _NAMES]) + r"|bearer|basic|hook|akia|asia|eyj|gh[pousr]_|xox|://|-u[ =]|--user|private")
+_STARTS = ("bearer", "basic", "hook", "akia", "asia", "eyj", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "://", "-u ", "-u=", "--user", "private")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LETTERS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])")
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _BLOCK = re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]++)[\"']?\s*+(?::=|=|:)\s*+(?:[|>][+\-]?|\"\"\"|'''|`|\\|\(|)\s*$")
 
 
+def triggers(text: str) -> bool:
+    low = text.lower()
+    for start in _STARTS:
+        if start in low:
+            return True
+    bare = low.replace("_", "").replace("-", "").replace(".", "")
+    for name in _NAMES:
+        if name in bare:
+            return True
+    return False
+
+
 class Segmenter:
     """Viterbi segmentation of a literal's letters into dictionary words."""
 
@@ -89,6 +101,7 @@ class Segmenter:
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
+        self.known: dict[str, int] = {}  # of runs seen before
         self.lengths = sorted({len(w) for w in counts}, reverse=True)
 
     def unexplained(self, run: str) -> int:
@@ -112,7 +125,15 @@ class Segmenter:
         """Letters in no word, plus digits; words only count where they stand as a program or a person would write them."""
         left = sum(c.isdigit() for c in value)
         for run in _WORDS.findall(value):
-            left += self.unexplained(run.lower())
+            if not self.cost:
+                left += len(run)
+                continue
+            run = run.lower()
+            if (own := self.known.get(run)) is None:
+                if len(self.known) >= FLUSH_WORDS:
+                    self.known.clear()
+                own = self.known[run] = self.unexplained(run)
+            left += own
         return left
 
 
@@ -152,7 +173,10 @@ def secret_spans(line: str, words: Segmenter) -> list[tuple[int, int]]:
         left = words.residual(value)
         return len(value) >= 6 and left >= 3 if kind == "password" else len(value) >= 8 and left >= 6 and left * 4 >= len(value)
 
-    for names, values in (_ASSIGN, _FLAG, _INSIDE):
+    has_equals, has_url, low = "=" in line, "://" in line, line.lower()
+    for (names, values), has in ((_ASSIGN, has_equals or ":" in line), (_FLAG, "-" in line), (_INSIDE, has_equals)):
+        if not has:
+            continue
         at = 0
         while m := names.search(line, at):
             at = m.end()
@@ -168,15 +192,16 @@ def secret_spans(line: str, words: Segmenter) -> list[tuple[int, int]]:
                 continue
             spans.append(v.span("value"))
             at = v.end()
-    for m in _SCHEME.finditer(line):
+    for m in _SCHEME.finditer(line) if "bearer" in low or "basic" in low or "token" in low else ():
         value = m["value"]
         if not plain(value) and (long_enough(value, "key") or _is_basic(value)):
             spans.append(m.span("value"))
     for a, b in _url_passwords(line):
         if not plain(line[a:b]) and words.residual(line[a:b]) >= 3:
             spans.append((a, b))
-    for pattern, kind in ((_USER, "password"), (_HOOK, "hook"), (_FORMS, "form")):
-        for m in pattern.finditer(line):
+    has_form = any(form in low for form in ("akia", "asia", "eyj", "gh", "xox"))
+    for pattern, kind, has in ((_USER, "password", "-u" in line or "--user" in line), (_HOOK, "hook", has_url and "hook" in low), (_FORMS, "form", has_form)):
+        for m in pattern.finditer(line) if has else ():
             value = m["value"]
             if plain(value) and kind != "hook":
                 continue
@@ -227,7 +252,7 @@ NO_WORDS = Segmenter({})  # explains nothing, so that every literal that any dic
 
 def find(text: str | None, words: Segmenter) -> dict[int, list[tuple[int, int, int]]]:
     """Findings by line (from 1): spans as (line, begin, end); a finding over several lines has several spans."""
-    if not text or not _TRIGGER.search(text):
+    if not text or not triggers(text):
         return {}
     found: dict[int, list[tuple[int, int, int]]] = {}
     lines = text.split("\n")
@@ -242,7 +267,8 @@ def find(text: str | None, words: Segmenter) -> dict[int, list[tuple[int, int, i
             found.setdefault(block, []).extend(body or [(block, 0, 0)])
 
     for n, line in enumerate(lines, 1):
-        if block is None and (m := _PEM.search(line)):
+        dashes = "-----" in line
+        if block is None and dashes and (m := _PEM.search(line)):
             begun = True
             if end := _PEM_END.search(line, m.end()):  # all of it on one line
                 inner = line[m.end() : end.start()]
@@ -264,7 +290,7 @@ def find(text: str | None, words: Segmenter) -> dict[int, list[tuple[int, int, i
                 continue
             close()
             block = None  # the key is cut off here
-        elif not begun and _PEM_END.search(line):  # the key began in an earlier record
+        elif not begun and dashes and _PEM_END.search(line):  # the key began in an earlier record
             begun, tail = True, []
             for k in range(n - 1, 0, -1):
                 m = _PEM_BODY.match(lines[k - 1])
@@ -281,7 +307,7 @@ def find(text: str | None, words: Segmenter) -> dict[int, list[tuple[int, int, i
                 pending = (pending[0], pending[1] or n)
                 continue
         pending = None
-        if not _TRIGGER.search(line):
+        if not triggers(line):
             continue
         for span in secret_spans(line, words):
             found.setdefault(n, []).append((n, *span))
