@@ -1,16 +1,20 @@
 """Evaluation texts leaking into training text, by greedy string tiling.
 
-Seeds are runs of ``min(13, words of the item)`` words. Items are few against the corpus; where their size is within
-``BROADCAST_BYTES`` each worker holds their seeds, else the seeds of both sides are joined. A document that shares a seed
-with an item is tiled against it: the longest matches of words not yet marked are marked first, found by running
-Karp-Rabin with a shrinking length, and the marked share of the item's words is its coverage, which also counts passages
-in another order. The longest tile decides ``p9_found``.
+Seeds are runs of ``min(run, words of the item)`` words. A document that shares a seed with an item is tiled against it: the
+longest matches of words not yet marked are marked first, found by running Karp-Rabin with a shrinking length, and the
+marked share of the item's words is its coverage, which also counts passages in another order. The longest tile decides
+``p9_found`` (seeds of 13 words), the coverage ``p9_reordered`` (seeds of ``TILE`` words).
+
+Items are few against the corpus; where their size is within ``BROADCAST_BYTES`` each worker holds their seeds. Beyond that
+each worker holds a table of bits that turns nearly all places of the corpus away (``Seeds.BITS``), and what is left is
+joined with the seeds; that gives the same rows.
 
 Null and wordless texts hold and leak nothing; repeated rows give repeated work but one result per (document, item).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.words import Rolling, words
-from corvine.session import prepare
+from corvine.session import materialize, prepare
 
 RUN = 13
 TILE = 5  # the shortest tile that counts towards the coverage
@@ -94,11 +98,11 @@ class Seeds:
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    def __init__(self, items: list[tuple[int, list[str]]], run: int = RUN):
         self.items = {i: w for i, w in items if w}
         by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.items.items():
-            s = min(RUN, len(w))
+            s = min(run, len(w))
             by_length[s] += [(h, i) for h in Rolling(_codes(w)).runs(s).tolist()]
         self.tables = []
         for s, pairs in by_length.items():
@@ -108,15 +112,15 @@ class Seeds:
             table[(h >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
             self.tables.append((s, h, np.array([p[1] for p in pairs], dtype=np.int64), table))
 
-    def hits(self, rolling: Rolling) -> Iterator[tuple[int, int]]:
-        """(place, item) wherever a seed matches."""
+    def hits(self, rolling: Rolling) -> Iterator[tuple[int, int, int]]:
+        """(place, length, item) wherever a seed matches."""
         for s, h, item, table in self.tables:
             runs = rolling.runs(s)
             maybe = np.flatnonzero(table[(runs >> np.uint64(64 - self.BITS)).astype(np.int64)])
             left, right = np.searchsorted(h, runs[maybe], "left"), np.searchsorted(h, runs[maybe], "right")
             for k in np.flatnonzero(right > left).tolist():
                 for i in range(left[k], right[k]):
-                    yield int(maybe[k]), int(item[i])
+                    yield int(maybe[k]), s, int(item[i])
 
 
 def _results(found: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
@@ -132,7 +136,7 @@ def _measure(document: list[str], item: list[str]) -> tuple:
     return max((t[2] for t in tiles), default=0), len(tiles), covered, len(item), covered / len(item)
 
 
-def leaks(documents: DataFrame, text: str, key: str, items: DataFrame, item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+def leaks(documents: DataFrame, text: str, key: str, items: DataFrame, item_text: str = "text", item_key: str = "item_id", run: int = RUN) -> DataFrame:
     """(key, item_id, long_run, tiles, covered_words, item_words, coverage) of every document that shares a seed with an item.
 
     ``long_run`` is the length in words of the longest run common to both.
@@ -144,16 +148,16 @@ def leaks(documents: DataFrame, text: str, key: str, items: DataFrame, item_text
     docs = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     if size <= BROADCAST_BYTES:
         held = [(i, t) for i, t in items.toLocalIterator()]
-        found = docs.mapInArrow(_against(held), f"key {kind}, item_id long, {RESULT}")
+        found = docs.mapInArrow(_against(held, run), f"key {kind}, item_id long, {RESULT}")
     else:
-        found = _joined(docs, items, kind)
+        found = _joined(docs, items, kind, run)
     best = F.max_by(F.struct("long_run", "tiles", "covered_words", "item_words", "coverage"), F.struct("long_run", "covered_words"))
     return found.groupBy("key", "item_id").agg(best.alias("m")).select(F.col("key").alias(key), "item_id", "m.*")
 
 
-def _against(held: list[tuple[int, str]]):
+def _against(held: list[tuple[int, str]], length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds([(i, words(t)) for i, t in held])
+        seeds = Seeds([(i, words(t)) for i, t in held], length)
         for batch in batches:
             tokens: list[str] = []
             ends = []
@@ -162,51 +166,90 @@ def _against(held: list[tuple[int, str]]):
                 ends.append(len(tokens))
             bounds = np.array([0, *ends])
             hits: dict[int, set[int]] = defaultdict(set)
-            for place, item in seeds.hits(Rolling(_codes(tokens))):
+            for place, size, item in seeds.hits(Rolling(_codes(tokens))):
                 row = int(np.searchsorted(bounds, place, "right")) - 1
-                hits[row].add(item)
+                if place + size <= bounds[row + 1]:  # else it runs over the text's end
+                    hits[row].add(item)
             keys = batch.column(0)
             found = []
             for row, wanted in sorted(hits.items()):
                 document = tokens[bounds[row] : bounds[row + 1]]
-                for item in sorted(wanted):  # a seed that runs over a text's end finds no tile of its length
+                for item in sorted(wanted):
                     found.append((keys[row].as_py(), item, *_measure(document, seeds.items[item])))
             yield _results(found, keys.type)
 
     return run
 
 
-def _seed_rows(lengths: list[int] | None, column: int, kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_seeds(run: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes, sizes = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(column).to_pylist()):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words(text)
-                rolling = Rolling(_codes(tokens))
-                for s in lengths if lengths is not None else [min(RUN, len(tokens))] if tokens else []:
-                    h = np.unique(rolling.runs(s)).astype(np.int64)
+                if tokens:
+                    h = np.unique(Rolling(_codes(tokens)).runs(min(run, len(tokens)))).astype(np.int64)
                     keys += [key] * len(h)
                     hashes += h.tolist()
+                    sizes += [min(run, len(tokens))] * len(h)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], names=["item_id", "seed", "length"])
+
+    return rows, "item_id long, seed long, length int"
+
+
+def _place(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _document_seeds(tables: dict[int, bytes], bits: int, kind: str):
+    """The seeds of documents that the tables of bits, one per length, don't turn away."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {s: np.frombuffer(zlib.decompress(t), dtype=np.uint8) for s, t in tables.items()}
+        for batch in batches:
+            at, hashes, sizes = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                tokens = words(text)
+                rolling = Rolling(_codes(tokens))
+                for s, table in known.items():
+                    h = rolling.runs(s)
+                    place = _place(h, bits)
+                    h = np.unique(h[(table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]).astype(np.int64)
+                    at += [i] * len(h)
+                    hashes += h.tolist()
                     sizes += [s] * len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "seed", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "seed", "length"])
 
-    return run, f"key {kind}, seed long, length int"
+    return rows, f"key {kind}, seed long, length int"
 
 
-def _joined(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
-    """For items beyond the bound: seeds are joined on their hash, then each pair is tiled."""
-    seeds = items.mapInArrow(*_seed_rows(None, 1, "long")).withColumnRenamed("key", "item_id")
-    lengths = sorted(r[0] for r in seeds.select("length").distinct().limit(RUN).collect())  # 13 values at most
-    pairs = docs.mapInArrow(*_seed_rows(lengths, 1, kind)).join(seeds, ["seed", "length"]).select("key", "item_id").distinct()
+FILTER_BITS = 24  # 2 MB a length
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _joined(docs: DataFrame, items: DataFrame, kind: str, run: int) -> DataFrame:
+    """For items beyond the bound: seeds that pass the tables of bits are joined on their hash, then each pair is tiled."""
+    seeds = materialize(items.mapInArrow(*_item_seeds(run)), "seeds")
+    tables = {s: np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8) for (s,) in seeds.select("length").distinct().collect()}  # ``run`` lengths at most
+    places = seeds.select("length", F.shiftrightunsigned("seed", 64 - FILTER_BITS).alias("place")).distinct()  # at most 2**FILTER_BITS a length
+    for s, place in places.toLocalIterator():
+        tables[s][place >> 3] |= 1 << (place & 7)
+    packed = {s: zlib.compress(t.tobytes(), 1) for s, t in tables.items()}
+    # a seed that a large share of documents hold is split by AQE's skew join; pairs are few after it
+    pairs = docs.mapInArrow(*_document_seeds(packed, FILTER_BITS, kind)).join(seeds, ["seed", "length"]).select("key", "item_id").distinct()
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(k, i, *_measure(words(t), words(u))) for k, i, t, u in zip(*(batch.column(c).to_pylist() for c in range(4)))]
             yield _results(found, batch.column(0).type)
 
-    return pairs.join(docs, "key").join(items, "item_id").select("key", "item_id", "text", "item_text").mapInArrow(run, f"key {kind}, item_id long, {RESULT}")
+    return pairs.join(docs, "key").join(items, "item_id").select("key", "item_id", "text", "item_text").mapInArrow(measured, f"key {kind}, item_id long, {RESULT}")
 
 
 def leaked(measured: DataFrame) -> DataFrame:
     """The rows with a run of 13 words, or of all the item's words where it has fewer."""
     return measured.where(F.col("long_run") >= F.least(F.lit(RUN), F.col("item_words")))
+
+
+def covered(measured: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows in which at least ``least`` of the item's words are covered by tiles, in whatever order they stand."""
+    return measured.where(F.col("coverage") >= least)

@@ -77,6 +77,12 @@ def p9_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), "text", "doc_id", table(spark, sf, "eval_items"))
 
 
+def p9_reordered(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold half of an item's words or more in runs of five, also in another order."""
+    found = leaks.leaks(table(spark, sf, "documents"), "text", "doc_id", table(spark, sf, "eval_items"), run=leaks.TILE)
+    return leaks.covered(found).select("doc_id", "item_id", F.round("coverage", 9).alias("coverage"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf, "documents"), "text", "doc_id").select("doc_id")
 
@@ -86,4 +92,4 @@ def p10_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p2_found, p2_clean, p3_found, p3_neighbours, p4_found, p4_redacted, p4_masked, p5_found, p5_kinds, p8_ids, p9_found, p9_tiles, p10_found, p10_measure)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p2_found, p2_clean, p3_found, p3_neighbours, p4_found, p4_redacted, p4_masked, p5_found, p5_kinds, p8_ids, p9_found, p9_tiles, p9_reordered, p10_found, p10_measure)}

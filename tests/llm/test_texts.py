@@ -152,3 +152,30 @@ def test_rules_are_put_in_order_of_rejections_per_second(monkeypatch):
 
 def test_words():
     assert words("Été_2-Foo's naïve ３") == ["été", "2", "foo", "s", "naïve", "３"] and words(None) == [] and words("İstanbul x") == ["i̇stanbul", "x"]
+
+
+def test_tiles_do_not_depend_on_batches_or_on_the_bound(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(20))
+    texts = ["x y " + " ".join(f"w{i}" for i in range(9)), " ".join(f"w{i}" for i in range(9, 20)) + " z", item, "a b c"]  # the first two hold a seed only strung together
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, item), (2, "a b c"), (3, ""), (4, None)], "item_id long, text string")
+    got = []
+    for size, bound in ((1, leaks.BROADCAST_BYTES), (10_000, leaks.BROADCAST_BYTES), (10_000, 0)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        monkeypatch.setattr(leaks, "BROADCAST_BYTES", bound)
+        got.append(sorted(tuple(r) for r in leaks.leaks(df, "text", "doc_id", items).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] == got[2] and [(r[0], r[1]) for r in got[0]] == [(2, 1), (3, 2)]
+
+
+@pytest.mark.parametrize("bound", [leaks.BROADCAST_BYTES, 0])
+def test_reordered_passages_are_covered(spark, monkeypatch, bound):
+    monkeypatch.setattr(leaks, "BROADCAST_BYTES", bound)
+    parts = [[f"p{k}q{i}" for i in range(7)] for k in range(4)]
+    item = " ".join(sum(parts, []))
+    texts = [" ".join(sum(([*parts[k], "between"] for k in (3, 1, 0, 2)), [])), " ".join(parts[1]) + " and no more of it", "something else"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert leaks.leaks(df, "text", "doc_id", items).count() == 0  # no run of 13 words
+    found = leaks.leaks(df, "text", "doc_id", items, run=leaks.TILE)
+    assert [(r.doc_id, r.item_id, r.coverage) for r in leaks.covered(found).collect()] == [(0, 5, 1.0)] and found.count() == 2
