@@ -1,7 +1,9 @@
 """Ranked full-text search (BM25) over chunks.
 
-The index is three tables that follow from the chunks: postings (one row per token), lengths, and one row of corpus
-statistics. A query's tree becomes one plan: the postings of its terms are gathered into positions per chunk, phrases and
+The index is three tables that follow from the chunks: postings (one row per token, with the chunk's collection), lengths,
+and one row of corpus statistics. It is read from the texts as asked, or kept: written once, sorted by term, so that a
+query reads the row groups of its terms and no text. Additions and deletions are parts of their own (``Workspace`` keeps them
+in its snapshots). A query's tree becomes one plan: the postings of its terms are gathered into positions per chunk, phrases and
 boolean structure are Column expressions over them, document frequencies are one aggregate row, and the top rows come from
 a TakeOrderedAndProject. Statistics are those of the whole corpus; a collection only filters scored rows.
 """
@@ -19,6 +21,8 @@ from corvine.operators.query_grammar import Combined, Near, Phrase, parse, phras
 # The ranking's parameters, and the weight of a phrase that most rows hold.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
+BROADCAST_HITS = 10_000
+
 
 @dataclass
 class Index:
@@ -33,27 +37,31 @@ class Index:
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
     distinct: bool = False
+    kept_statistics: DataFrame | None = None
 
     @classmethod
     def of(cls, chunks: DataFrame, key: str = "chunk_id", text: str = "text_content", distinct: bool = False) -> Index:
-        rows = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        collection = F.col("collection") if "collection" in chunks.columns else F.lit(None).cast("string")
+        rows = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("chunk_id"), collection.alias("collection"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         return cls(rows, distinct=distinct)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(None, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), True)
+        return cls(None, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), True, spark.read.parquet(f"{path}/statistics"))
 
     def save(self, path: str) -> None:
         """Write postings sorted by term, so that a query's terms prune row groups."""
         rows = self.all_postings() if self.distinct else self.all_postings().dropDuplicates(["term", "chunk_id", "position"])
         rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id", "position").write.mode("overwrite").parquet(f"{path}/postings")
-        self.all_lengths().write.mode("overwrite").parquet(f"{path}/lengths")
+        lengths = self.all_lengths()
+        lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        Index(None, lengths=lengths.sparkSession.read.parquet(f"{path}/lengths")).statistics().coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
 
     def all_postings(self) -> DataFrame:
         if self.postings is not None:
             return self.postings
-        rows = self.texts.select("chunk_id", tokens(F.col("text")).alias("tokens"))
-        return rows.select("chunk_id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term"))
+        rows = self.texts.select("chunk_id", "collection", tokens(F.col("text")).alias("tokens"))
+        return rows.select("chunk_id", "collection", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term"))
 
     def postings_of(self, wanted: list[tuple[str, bool]]) -> DataFrame:
         """The postings of tokens and prefixes. Texts are only split where one of them occurs in the folded text at all."""
@@ -64,12 +72,12 @@ class Index:
                 test = test | F.col("term").startswith(t)
         if self.postings is not None:
             return self.postings.where(test)
-        rows = self.texts.select("chunk_id", fold(F.col("text")).alias("folded"))
+        rows = self.texts.select("chunk_id", "collection", fold(F.col("text")).alias("folded"))
         some = F.lit(False)
         for t in sorted({t for t, _ in wanted}):
             some = some | F.contains(F.col("folded"), F.lit(t))
-        rows = rows.where(some).select("chunk_id", folded_tokens(F.col("folded")).alias("tokens"))
-        return rows.select("chunk_id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term")).where(test)
+        rows = rows.where(some).select("chunk_id", "collection", folded_tokens(F.col("folded")).alias("tokens"))
+        return rows.select("chunk_id", "collection", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term")).where(test)
 
     def all_lengths(self) -> DataFrame:
         if self.lengths is not None:
@@ -82,6 +90,8 @@ class Index:
 
     def statistics(self) -> DataFrame:
         """One row: n_rows, avg_tokens."""
+        if self.kept_statistics is not None:
+            return self.kept_statistics
         return self.all_lengths().agg(F.count("*").alias("n_rows"), F.avg("n_tokens").alias("avg_tokens"))
 
     def document_frequencies(self) -> DataFrame:
@@ -142,13 +152,13 @@ def _near_starts(near: Near, slots: dict[tuple[str, bool], str]) -> list[Column]
 
 
 def match(index: Index, query: str) -> DataFrame:
-    """(chunk_id, rank) of every chunk that the query's tree accepts; the greater rank is the better."""
+    """(chunk_id, collection, rank) of every chunk that the query's tree accepts; the greater rank is the better."""
     tree = parse(query)
     wanted = phrases(tree)
     slots = _slots(wanted)
     if not slots:
-        return index.all_lengths().where(F.lit(False)).select("chunk_id", F.lit(0.0).alias("rank"))
-    gathered = index.postings_of(list(slots)).groupBy("chunk_id", F.col("n_tokens").alias("_len")).agg(
+        return index.all_lengths().where(F.lit(False)).select("chunk_id", F.lit(None).cast("string").alias("collection"), F.lit(0.0).alias("rank"))
+    gathered = index.postings_of(list(slots)).groupBy("chunk_id", "collection", F.col("n_tokens").alias("_len")).agg(
         *[index.gathered(F.when(_token_test(F.col("term"), t, prefix), F.col("position"))).alias(name) for (t, prefix), name in slots.items()]
     )
     # frequency of each phrase, by itself and as far as a NEAR group lets it count
@@ -186,7 +196,7 @@ def match(index: Index, query: str) -> DataFrame:
         return out
 
     condition = collect(tree)
-    counted = gathered.select("chunk_id", "_len", *[c.alias(f"_f{i}") for i, c in enumerate(found)], *[c.alias(f"_n{i}") for i, c in enumerate(plain)])
+    counted = gathered.select("chunk_id", "collection", "_len", *[c.alias(f"_f{i}") for i, c in enumerate(found)], *[c.alias(f"_n{i}") for i, c in enumerate(plain)])
     frequencies = counted.agg(*[F.coalesce(F.sum((F.col(f"_n{i}") > 0).cast("long")), F.lit(0)).alias(f"_d{i}") for i in range(len(found))])
     ones = F.broadcast(frequencies.crossJoin(index.statistics()))  # a single row
     score = F.lit(0.0)
@@ -198,20 +208,25 @@ def match(index: Index, query: str) -> DataFrame:
             counts = counts & c
         f = F.when(counts, F.col(f"_f{i}")).otherwise(F.lit(0)).cast("double")
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("avg_tokens")))
-    return counted.where(condition).crossJoin(ones).select("chunk_id", score.alias("rank"))
+    return counted.where(condition).crossJoin(ones).select("chunk_id", "collection", score.alias("rank"))
 
 
 def search(index: Index, chunks: DataFrame, query: str, collection: str | None = None, limit: int = 5, with_snippet: bool = True) -> DataFrame:
     """The best chunks for a query, with their columns, ``snippet`` and ``rank``; ties go to the smaller chunk_id.
 
-    ``chunks`` has one row per chunk_id, with its collection. No or an empty collection means all; a negative limit means
-    no limit.
+    ``chunks`` has the chunks of the index; repeated rows of an id are one, of other versions the greatest. No or an empty
+    collection means all; a negative limit means no limit. The best are chosen before any chunk is looked at.
     """
-    hits = match(index, query).join(chunks, "chunk_id")
+    hits = match(index, query)
     if collection:
         hits = hits.where(F.col("collection") == collection)
+    hits = hits.select("chunk_id", "rank")
     if limit >= 0:
         hits = hits.orderBy(F.desc("rank"), "chunk_id").limit(limit)
+    others = [c for c in chunks.columns if c not in ("chunk_id", "rank")]
+    if others:
+        found = chunks.drop("rank").join(F.broadcast(hits) if 0 <= limit <= BROADCAST_HITS else hits, "chunk_id")
+        hits = found.groupBy("chunk_id", "rank").agg(F.max(F.struct(*others)).alias("_c")).select("chunk_id", "_c.*", "rank")
     if with_snippet and "text_content" in chunks.columns:
         hits = with_snippets(hits, phrases(parse(query)))
     return hits.orderBy(F.desc("rank"), "chunk_id")

@@ -1,7 +1,7 @@
 """The index's data model over the Parquet tables: one row per record, with the names the operators use.
 
 Repeated rows of an id are one record; of versions of a file the newest counts. Repeats of a chunk are the same row; were they
-not, the greatest value of each column would count, so every run gives the same.
+not, the greatest row would count, so every run gives the same.
 """
 
 from __future__ import annotations
@@ -24,8 +24,13 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """One row per chunk_id, with just the columns asked for, so that no query reads texts it doesn't need."""
-    rows = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), *columns)
-    return rows.groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in columns]) if columns else rows.distinct()
+    rows = chunk_rows(spark, sf, *columns)
+    return rows.groupBy("chunk_id").agg(F.max(F.struct(*columns)).alias("c")).select("chunk_id", "c.*") if columns else rows.distinct()
+
+
+def chunk_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The rows as they are, repeats included, for those who choose few of them before they sort out repeats."""
+    return table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), *columns)
 
 
 def tracked(spark: SparkSession, sf: str) -> DataFrame:

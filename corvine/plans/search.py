@@ -9,7 +9,7 @@ from corvine.functions import text as T
 from corvine.functions.vectors import norm, normalized
 from corvine.operators import fulltext, fusion, vectors
 from corvine.plans import model
-from corvine.session import table
+from corvine.session import scratch_path, table
 
 POOL = 25  # five times the default limit of 5
 COLLECTION = "platform-handbook"
@@ -27,12 +27,24 @@ TEXT_QUERIES = {
 }
 
 
+_kept: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, sf: str) -> fulltext.Index:
-    return fulltext.Index.of(table(spark, sf, "chunks"), "id")
+    """The kept index of the chunks, in the shared folder: built by the first query of an application that asks, and anew
+    when the table isn't the same any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/chunks.parquet")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = (spark.sparkContext.applicationId, sf, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
+    if state not in _kept:
+        path = scratch_path(spark, "index", keep=False)
+        fulltext.Index.of(table(spark, sf, "chunks"), "id").save(path)
+        _kept[state] = path
+    return fulltext.Index.load(spark, _kept[state])
 
 
 def _search(spark: SparkSession, sf: str, query: str, collection: str | None = None, limit: int = POOL) -> DataFrame:
-    return fulltext.search(_index(spark, sf), model.chunks(spark, sf, "collection"), query, collection, limit, with_snippet=False)
+    return fulltext.search(_index(spark, sf), model.chunk_rows(spark, sf), query, collection, limit, with_snippet=False)
 
 
 def _ranked(name: str, query: str):
@@ -48,7 +60,7 @@ def fts_bm25_collection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fts_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = model.chunks(spark, sf, "text_content")
+    chunks = model.chunk_rows(spark, sf, "text_content")
     return fulltext.search(_index(spark, sf), chunks, "shared snapshot", limit=POOL).select("chunk_id", "snippet", F.round("rank", 6).alias("rank"))
 
 

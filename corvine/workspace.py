@@ -33,8 +33,10 @@ SCHEMAS = {
     "documents": "document_id long, file_id long, collection string, slug string, chunk_count int, total_chars long, metadata string",
     "chunks": "chunk_id long, document_id long, collection string, chunk_index int, text_content string, total_chars int, line_start int, line_end int, section_num int, section_title string, slug string, metadata string",
     "vectors": "collection string, chunk_id long, embedding array<float>",
+    "postings": "document_id long, chunk_id long, collection string, n_tokens int, position int, term string",
+    "lengths": "document_id long, chunk_id long, n_tokens int",
 }
-KEYS = {"files": "file_id", "documents": "document_id", "chunks": "document_id", "vectors": "chunk_id"}  # by which rows go
+KEYS = {"files": "file_id", "documents": "document_id", "chunks": "document_id", "vectors": "chunk_id", "postings": "document_id", "lengths": "document_id"}  # by which rows go
 log = logging.getLogger("corvine")
 
 
@@ -144,10 +146,14 @@ class Workspace:
         all_files = sync.upserted(files, changed_files.unionByName(refreshed), "file_id").select(*files.columns).join(kept, "file_id", "left_semi")
         changes = {"replace": {"files": all_files}}
         if not fresh.isEmpty():
-            changes["append"] = {"documents": new_documents, "chunks": new_chunks}
+            new_chunks = materialize(new_chunks, "chunks")
+            index, owner = fulltext.Index.of(new_chunks, distinct=True), new_chunks.select("chunk_id", "document_id")
+            postings = index.all_postings().join(owner, "chunk_id").select("document_id", "chunk_id", "collection", "n_tokens", "position", "term")
+            lengths = index.all_lengths().join(owner, "chunk_id").select("document_id", "chunk_id", "n_tokens")
+            changes["append"] = {"documents": new_documents, "chunks": new_chunks, "postings": postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "lengths": lengths}
         if not dropped.isEmpty():
             lost = chunks.join(dropped, "document_id", "left_semi").select("chunk_id")
-            changes["gone"] = {"documents": dropped, "chunks": dropped, "vectors": lost}
+            changes["gone"] = {"documents": dropped, "chunks": dropped, "vectors": lost, "postings": dropped, "lengths": dropped}
         self.tables.commit(**changes, next_ids={"files": next_file, "documents": next_document, "chunks": next_chunk})
         log.info("synchronised %s: %s", name, result)
         return result
@@ -191,7 +197,8 @@ class Workspace:
             mode = "fts"
         text = near = None
         if mode != "semantic":
-            text = fulltext.search(fulltext.Index.of(chunks, distinct=True), chunks.select("chunk_id", "collection"), query, collection, pool, with_snippet=False).select("chunk_id", "rank")
+            index = fulltext.Index(None, self.tables.read("postings"), self.tables.read("lengths"), True)  # kept up to date by sync
+            text = fulltext.search(index, chunks.select("chunk_id"), query, collection, pool, with_snippet=False).select("chunk_id", "rank")
         if mode != "fts":
             asked = [float(x) for x in embedder.embed([query])[0]]
             near = vectors.top_k(self.tables.read("vectors"), asked, pool, collection).select("chunk_id", F.col("score").alias("rank"))
