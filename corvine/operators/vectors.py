@@ -72,8 +72,13 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Top hits with their chunks' columns; a hit whose chunk is gone is dropped after it has taken its place."""
-    return F.broadcast(hits).join(chunks, "chunk_id").orderBy(F.desc("score"), "chunk_id")  # at most k rows
+    """Top hits with their chunks' columns; a hit whose chunk is gone is dropped after it has taken its place.
+
+    Repeated rows of a chunk are one, of other versions the greatest; they are sorted out after the join.
+    """
+    others = [c for c in chunks.columns if c != "chunk_id"]
+    found = chunks.join(hits, "chunk_id").groupBy(*hits.columns).agg(F.max(F.struct(*others)).alias("_c"))
+    return found.select(*hits.columns, "_c.*").orderBy(F.desc("score"), "chunk_id")
 
 
 def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def orphan_vectors_by_collection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pending_embed(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.pending(model.chunks(spark, sf, "text_content"), model.tracked(spark, sf)).select("chunk_id")
+    return catalog.pending(model.chunk_rows(spark, sf, "text_content"), model.tracked(spark, sf)).select("chunk_id").distinct()
 
 
 def vector_prune(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,9 +100,10 @@ def vector_prune(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    stored = model.vectors(spark, sf)
-    new = stored.where("chunk_id % 7 = 0").select("collection", "chunk_id", F.transform("embedding", lambda x: -x).alias("embedding"))
-    out = vectors.upsert(stored.where("chunk_id % 5 <> 0"), new)
+    """The newest finite results of the embedding job over the test vectors."""
+    fine = (F.size("vector") == 64) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    new = table(spark, sf, "embedresult").where("id IS NOT NULL").where(fine).groupBy(F.col("id").alias("chunk_id")).agg(F.max(F.struct("finished_at", "vector")).alias("n"))
+    out = vectors.upsert(model.vectors(spark, sf), new.select(F.lit("results").alias("collection"), "chunk_id", F.col("n.vector").alias("embedding")))
     return out.select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
@@ -180,8 +181,11 @@ SQL = {
     "pending_embed": rf"WITH {model.SQL} SELECT chunk_id FROM m_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM m_tracked) AND strlen(regexp_replace(regexp_replace(coalesce(text_content, ''), '^[\s\x{{b}}\p{{Z}}\x{{85}}]+', ''), '[\s\x{{b}}\p{{Z}}\x{{85}}]+$', '')) >= 3",
     "vector_prune": f"WITH {model.SQL} SELECT chunk_id, collection FROM m_vectors WHERE chunk_id IN (SELECT chunk_id FROM m_chunks)",
     "vector_upsert": f"""
-        WITH {model.SQL}, t AS (SELECT chunk_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM m_vectors)
-        SELECT chunk_id, round(CASE WHEN chunk_id % 7 = 0 THEN -s ELSE s END, 5) AS total FROM t WHERE chunk_id % 7 = 0 OR chunk_id % 5 <> 0""",
+        WITH {model.SQL}, fine AS (
+          SELECT id AS chunk_id, max(struct_pack(f := coalesce(finished_at, TIMESTAMP '0001-01-01'), v := vector)).v AS v FROM embedresult
+          WHERE id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY id),
+        every AS (SELECT chunk_id, v FROM fine UNION ALL SELECT chunk_id, embedding FROM m_vectors WHERE chunk_id NOT IN (SELECT chunk_id FROM fine))
+        SELECT chunk_id, round(list_sum(list_transform(v, lambda x: x::DOUBLE)), 5) AS total FROM every""",
     "vector_mark": f"WITH {model.SQL} SELECT chunk_id, CASE WHEN t.chunk_id IS NULL THEN c.collection ELSE t.collection END AS collection FROM m_tracked t FULL JOIN (SELECT chunk_id, collection FROM m_chunks) c USING (chunk_id)",
     "vector_clear": f"WITH {model.SQL} SELECT chunk_id, collection FROM m_tracked WHERE collection IS DISTINCT FROM 'platform-handbook'",
     "result_file_enrich": f"""

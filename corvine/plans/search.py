@@ -108,7 +108,7 @@ def vector_dim_count(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_hits_with_chunks(spark: SparkSession, sf: str) -> DataFrame:
     hits = vectors.top_k(model.vectors(spark, sf), _query_vector(spark, sf), POOL)
-    shown = vectors.with_chunks(hits, model.chunks(spark, sf, "document_id", "text_content"))
+    shown = vectors.with_chunks(hits, model.chunk_rows(spark, sf, "document_id", "text_content"))
     return shown.select("chunk_id", "document_id", F.round("score", 6).alias("score"), T.snippet(F.col("text_content")).alias("snippet"))
 
 

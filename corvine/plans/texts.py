@@ -23,7 +23,7 @@ def slugify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sha256_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return model.documents(spark, sf).select("document_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), T.content_hash(F.col("text")).alias("hash")), "document_id")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), T.content_hash(F.col("text")).alias("hash"))
 
 
 def snippet50(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +36,7 @@ def line_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def worth_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    return model.chunks(spark, sf, "text_content").where(T.worth_embedding(F.col("text_content"))).select("chunk_id")
+    return model.chunk_rows(spark, sf, "text_content").where(T.worth_embedding(F.col("text_content"))).select("chunk_id").distinct()
 
 
 def metadata_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,8 +109,8 @@ def wordpiece_encode(spark: SparkSession, sf: str) -> DataFrame:
     """With a small vocabulary of letters and common endings, as no model's vocabulary is at hand."""
     pieces = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789.,;:!?", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"), "the", "and", "##ing", "##er", "##or", "##tion"]
     tokenizer = WordPiece({"vocab": {p: i for i, p in enumerate(pieces)}, "continuing_subword_prefix": "##"})
-    rows = model.chunks(spark, sf, "text_content").select("chunk_id", encode(F.col("text_content"), tokenizer, 512).alias("t"))
-    return rows.select("chunk_id", F.aggregate("t.attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), F.size("t.input_ids").alias("length"))
+    rows = model.chunk_rows(spark, sf, "text_content").select("chunk_id", encode(F.col("text_content"), tokenizer, 512).alias("t"))
+    return rows.select("chunk_id", F.aggregate("t.attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), F.size("t.input_ids").alias("length")).distinct()
 
 
 QUERIES = {
