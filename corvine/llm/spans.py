@@ -7,7 +7,8 @@
 3. The windows of these intervals are hashed (Karp-Rabin) and those found in two texts verify the spans, to the character.
 
 Texts are told apart by a 64-bit content hash, so copies of one text are parsed into the same rows, which are merged before
-they are grouped, and a copy under another id shares the whole text. Names and windows are only ever aggregated to a least
+they are grouped, and a copy under another id shares the whole text. Texts that one id alone holds count as one where that
+id has several, as a span must stand under another id. Names and windows are only ever aggregated to a least
 and a greatest text, never listed, so a name that a third of all records hold is no heavier than its rows.
 
 Rows with a null id or text hold nothing; rows of the same id and text are one record; texts under ``least`` characters share
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.recompress import parse
@@ -122,7 +123,7 @@ def _intervals(least: int):
 def _windows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, intervals in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for key, holder, text, intervals in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
                 covered = np.zeros(len(codes) + 1, dtype=np.int32)
                 for x in intervals:
@@ -130,9 +131,10 @@ def _windows(least: int):
                     covered[min(len(codes), x["stop"]) - least + 1] -= 1
                 at = np.flatnonzero(np.cumsum(covered)[: len(codes) - least + 1] > 0)
                 hashes = mix(Rolling(codes).runs(least)[at]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], names=["window", "key", "at"])
+                holders = pa.nulls(len(at), pa.int64()) if holder is None else pa.array(np.full(len(at), holder))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32)), holders], names=["window", "key", "at", "holder"])
 
-    return run, "window long, key long, at int"
+    return run, "window long, key long, at int, holder long"
 
 
 def _merged(least: int):
@@ -148,9 +150,9 @@ def _merged(least: int):
     return run, "key long, spans array<struct<begin: int, stop: int>>"
 
 
-def _twice(rows: DataFrame, by: str) -> DataFrame:
-    """The values of ``by`` that at least two texts hold."""
-    return rows.groupBy(by).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select(by)
+def _twice(rows: DataFrame, by: str, holder: Column) -> DataFrame:
+    """The values of ``by`` that at least two holders have."""
+    return rows.groupBy(by).agg(F.min(holder).alias("least"), F.max(holder).alias("most")).where("least <> most").select(by)
 
 
 def shared_spans(records: DataFrame, text: str, key: str, least: int = LEAST) -> DataFrame:
@@ -161,15 +163,17 @@ def shared_spans(records: DataFrame, text: str, key: str, least: int = LEAST) ->
     prepare(records.sparkSession)
     rows = records.where(F.col(key).isNotNull() & (F.length(text) >= least)).select(F.col(key).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     texts = rows.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    several = rows.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select(F.col("id").alias("first_id"), F.xxhash64(F.lit("id"), "id").alias("of_id"))
 
     anchors = materialize(rows.select("key", "text").mapInArrow(*_anchors(least)), "anchors")
-    shared = anchors.join(_twice(anchors.where("name IS NOT NULL"), "name"), "name", "left_semi").unionByName(anchors.where("name IS NULL"))
+    shared = anchors.join(_twice(anchors.where("name IS NOT NULL"), "name", F.col("key")), "name", "left_semi").unionByName(anchors.where("name IS NULL"))
     places = shared.groupBy("key").agg(F.collect_set(F.struct("number", "after", "before")).alias("places"))  # copies merge here
-    left = places.mapInArrow(*_intervals(least)).join(texts, "key").select(F.col("first_id").alias("id"), "key", "intervals")
+    left = places.mapInArrow(*_intervals(least)).join(texts, "key").join(several, "first_id", "left")
+    left = left.select(F.col("first_id").alias("id"), "key", F.when(F.col("first_id") == F.col("last_id"), F.col("of_id")).alias("holder"), "intervals")
 
-    candidates = left.join(rows, ["id", "key"]).dropDuplicates(["key"]).select("key", "text", "intervals")
+    candidates = left.join(rows, ["id", "key"]).dropDuplicates(["key"]).select("key", "holder", "text", "intervals")
     windows = materialize(candidates.mapInArrow(*_windows(least)), "windows")
-    starts = windows.join(_twice(windows, "window"), "window", "left_semi").groupBy("key").agg(F.collect_set("at").alias("starts"))
+    starts = windows.join(_twice(windows, "window", F.coalesce("holder", "key")), "window", "left_semi").groupBy("key").agg(F.collect_set("at").alias("starts"))
     spans = starts.mapInArrow(*_merged(least))
 
     ids = rows.select("id", "key", F.length("text").alias("chars")).distinct()

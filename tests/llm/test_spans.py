@@ -89,3 +89,11 @@ def test_symbols_cover_the_texts():
     s = parse(texts)
     assert np.bincount(s.text, weights=s.size, minlength=5).tolist() == [len(t) for t in texts]
     assert (s.low <= s.start).all() and (s.high >= s.start + s.size).all()
+
+
+def test_texts_of_one_id_are_no_other_record(spark):
+    r = random.Random(8)
+    own, both = text(r, 260), text(r, 240)
+    rows = [(1, "a" + own + "b", "x"), (1, "c" + own + "d", "x"), (2, "e" + both, "x"), (2, "f" + both, "x"), (3, both + "g", "x"), (4, own[:199], "x")]
+    assert set(check(spark, rows)) == {2, 3}
+    assert set(check(spark, [*rows, (5, "h" + own, "x")])) == {1, 2, 3, 5}
