@@ -5,6 +5,9 @@ from __future__ import annotations
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
+WHITE = r"[\s\x{b}\x{1c}-\x{1f}\p{Z}\x{85}]"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
@@ -35,4 +38,15 @@ def oracle_sql() -> dict[str, str]:
             WITH doc AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
             runs AS (SELECT doc_id, w[i:i + 7] AS run FROM doc, unnest(range(1, len(w) - 6)) AS t(i))
             SELECT doc_id FROM runs GROUP BY doc_id HAVING (count(*) - count(DISTINCT run)) / count(*) >= 0.3""",
+        "p10_measure": rf"""
+            WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+            runs AS (SELECT doc_id, w[i:i + 7] AS run FROM (SELECT doc_id, {WORDS.format("t")} AS w FROM doc), unnest(range(1, len(w) - 6)) AS u(i)),
+            r AS (SELECT doc_id, (count(*) - count(DISTINCT run)) / count(*) AS share FROM runs GROUP BY 1),
+            part AS (
+              SELECT doc_id, kind, regexp_replace(regexp_replace(p, '^{WHITE}+', ''), '{WHITE}+$', '') AS p
+              FROM (SELECT doc_id, 'line' AS kind, unnest(string_split(t, chr(10))) AS p FROM doc UNION ALL SELECT doc_id, 'paragraph', unnest(string_split(t, chr(10) || chr(10))) FROM doc)),
+            counted AS (SELECT doc_id, kind, length(p) AS chars, count(*) AS n FROM part WHERE p <> '' GROUP BY doc_id, kind, p),
+            s AS (SELECT doc_id, kind, (sum(chars * n) - sum(chars)) / sum(chars * n) AS share FROM counted GROUP BY 1, 2)
+            SELECT doc.doc_id, round(coalesce(r.share, 0), 9) AS run_share, round(coalesce(l.share, 0), 9) AS line_share, round(coalesce(p.share, 0), 9) AS paragraph_share
+            FROM doc LEFT JOIN r USING (doc_id) LEFT JOIN (SELECT * FROM s WHERE kind = 'line') l USING (doc_id) LEFT JOIN (SELECT * FROM s WHERE kind = 'paragraph') p USING (doc_id)""",
     }
