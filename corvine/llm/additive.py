@@ -140,7 +140,7 @@ class Quantiser:
 
 
 SCORES = 1 << 22  # so many at once
-FEW = 64  # candidates of a leaf that are reranked at a time, those of the greatest score first
+FEW = 64  # where more vectors of a leaf are candidates, all of the leaf are compared exactly, by one matrix product
 
 
 class Shard:
@@ -165,8 +165,7 @@ class Shard:
 
         ``rows`` and ``leaves`` say which asked vector looks into which leaf; its first one is read first. Candidates come
         from table scores: those that reach what a vector scores that is as similar as the k-th best so far, less five
-        standard deviations of the code's error. Their exact cosines decide. Where a leaf has more than ``FEW`` of them, they
-        are reranked in the order of their scores until ``FEW`` in a row bring nothing better: this, the leaves that aren't
+        standard deviations of the code's error, however many they are. Their exact cosines decide. The leaves that aren't
         looked into and the five deviations are what accuracy is lost by. A vector's match with its own id is left out.
         """
         n, scored = len(asked), 0
@@ -217,21 +216,18 @@ class Shard:
                         score += np.take(tables[m][r], codes[:, m], axis=1)
                     score /= self.norm[a:b]
                     scored += score.size
-                    while len(r):
-                        t = best[r, :1]
-                        passed = score >= t * fit - np.sqrt(np.maximum(0, 1 - t * t)) * slack
-                        many = passed.sum(1) > FEW
-                        row, hit = np.nonzero(passed & ~many[:, None])
-                        exact(r[row], a + hit)
-                        if not many.any():
-                            break
-                        r, score = r[many], score[many]
-                        top = np.argpartition(score, score.shape[1] - FEW, axis=1)[:, -FEW:]
-                        before = best[r].sum(1)
-                        exact(np.repeat(r, FEW), a + top.ravel())
-                        np.put_along_axis(score, top, -np.inf, axis=1)
-                        better = best[r].sum(1) > before
-                        r, score = r[better], score[better]
+                    t = best[r, :1]
+                    passed = score >= t * fit - np.sqrt(np.maximum(0, 1 - t * t)) * slack
+                    many = passed.sum(1) > FEW
+                    row, hit = np.nonzero(passed & ~many[:, None])
+                    exact(r[row], a + hit)
+                    if not many.any():
+                        continue
+                    r = r[many]
+                    near = asked[r] @ self.x[a:b].T
+                    last = np.maximum(best[r, 0], np.partition(near, b - a - self.k - 1, axis=1)[:, b - a - self.k - 1]) if b - a > self.k + 1 else best[r, 0]
+                    row, hit = np.nonzero(near >= last[:, None] - 1e-5)  # one more than k, as the vector itself may be among them
+                    exact(r[row], a + hit)
         if not kept:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), scored
         row, hit, cosine = (np.concatenate(c) for c in zip(*kept))

@@ -71,7 +71,7 @@ def test_a_cell_of_half_of_all_rows_is_split(spark, monkeypatch):
     small = spark.createDataFrame(rows_of(np.concatenate([x[:1200], x[1200:1204]]), "c"), SCHEMA)  # a quantiser that hardly knows the dense half
     got = pairs(n.neighbours(df, 3, 0.9, sample_from=small))
     want = brute(coded, 3, 0.9)
-    assert got <= want | {(a, b) for a, b in got} and len(got & want) >= 0.95 * len(want)
+    assert len(got & want) >= 0.95 * len(want)
 
 
 def test_layout_numbers_shards_by_counted_sizes(spark, monkeypatch):
@@ -152,7 +152,7 @@ def test_search_gives_the_k_best_however_many_come_close():
     s = x.astype(np.float64) @ x.T.astype(np.float64)
     np.fill_diagonal(s, -2)
     want = {(i, int(j)) for i in range(900) for j in np.argsort(-s[i])[:4]}
-    assert len(a) < 1.05 * len(want) and len(want & set(zip(a.tolist(), b.tolist()))) >= 0.9 * len(want)
+    assert len(a) < 1.05 * len(want) and len(want & set(zip(a.tolist(), b.tolist()))) >= 0.999 * len(want)
 
 
 def test_nearest_pairs_are_the_nearest_sums_of_two_entries():
